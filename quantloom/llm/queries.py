@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, fingerprints, near_duplicates, passages, token_counts
+from . import bpe, decontamination, fingerprints, near_duplicates, passages, token_counts, toxicity
 from .common import documents
 
 
@@ -27,6 +27,11 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, labels))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -36,7 +41,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_bpe, op4_passages, op6_decontamination, op8_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_bpe, op4_passages, op5_toxicity, op6_decontamination, op8_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
