@@ -10,12 +10,14 @@ are drawn in order of time, and a process ends once it is past the latest
 register of its document.
 
 Equal texts are one node from the start.  Documents that agree in all rows of
-a band meet in a bucket; all of a bucket are compared with its least document,
-then those still in other classes with the next, and so on until each bucket
-lies in one class or every pair of it from two classes has been compared.  So
-no group is expanded into pairs, and no link that would join two classes of a
-bucket is missed.  Comparison is exact, on the multisets of both texts.
-A pair at similarity 0.8 shares no bucket with a chance below 1e-7.
+a band meet in a bucket (a pair at similarity 0.8 in none with a chance below
+1e-7), and all of a bucket are compared with its least document.  That puts
+most groups of copies into one class without making their pairs.  Buckets that
+still hold several classes are then gone through in blocks of ``BLOCK``
+documents at most: of the pairs from two classes, those whose signatures agree
+in ``AGREE`` registers (one at similarity 0.8 does not with a chance of 4e-5)
+are compared too, each in the first bucket that it shares.  Comparison is
+exact, on the multisets of both texts.
 
 Defined results: null or wordless texts equal only the same text; texts under
 ``SHINGLE`` words are one shingle; rows with equal ids are one document; rows
@@ -38,6 +40,8 @@ from .components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 32
+AGREE = 84
+BLOCK = 1024
 #: Ids (8 bytes each) that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -81,20 +85,28 @@ def _bags(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.unique(shingle_hashes(word_hashes(words_of(text)), SHINGLE), return_counts=True)
 
 
-def band_keys(texts: list[str | None]) -> list[np.ndarray]:
-    """Keys of the ``BANDS`` bands of each text; none for a text without words."""
+def signatures(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Keys of the ``BANDS`` bands of each text, and its registers in 16 bits; none for a text without words."""
     out: list[np.ndarray] = []
+    registers: list[bytes] = []
     for begin, end in _slices(texts, 1_000_000):
         bags = list(_bags(texts[begin:end]))
         n = [len(h) for h, _ in bags]
         doc = np.repeat(np.arange(len(bags)), n)
         signature = bag_min_hash(doc, np.concatenate([h for h, _ in bags]), np.concatenate([c for _, c in bags]), len(bags), ROWS * BANDS)
-        bits = mix64(signature.view(np.uint64)).reshape(len(bags), BANDS, ROWS)
+        bits = mix64(signature.view(np.uint64))
+        short = bits.astype(np.uint16)
+        bits = bits.reshape(len(bags), BANDS, ROWS)
         keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD, (len(bags), BANDS)).copy()
         for r in range(ROWS):
             keys = mix64(keys * np.uint64(31) + bits[:, :, r])
         out += [keys[i].view(np.int64) if n[i] else np.zeros(0, np.int64) for i in range(len(bags))]
-    return out
+        registers += [short[i].tobytes() if n[i] else b"" for i in range(len(bags))]
+    return out, registers
+
+
+def band_keys(texts: list[str | None]) -> list[np.ndarray]:
+    return signatures(texts)[0]
 
 
 def _slices(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
@@ -147,6 +159,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _across(buckets: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` from two classes of a bucket whose signatures agree, each once, the greater id first.
+
+    A bucket's documents are dealt to blocks, and every two blocks meet in one
+    group: so the rows grow with the documents times the blocks of their
+    bucket, a group is bounded, and only pairs that agree leave it.
+    """
+    placed = buckets.join(roots, buckets.node == roots.id, "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1")
+    open_ = open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    registers = signed.select(F.col("doc_id").alias("node"), "bands", "registers").dropDuplicates(["node"])
+    rows = placed.join(open_, "bucket").join(registers, "node").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "bands", "registers")
+
+    def meet(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        block, node, root = (group.column(c).to_numpy() for c in ("block", "node", "root"))
+        bands = np.stack(group.column("bands").to_numpy())
+        registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        found: list[tuple[int, int]] = []
+        for i in left.tolist():
+            js = right[root[right] != root[i]]
+            if x == y:
+                js = js[js > i]
+            js = js[(registers[js] == registers[i]).sum(axis=1) >= AGREE]
+            if len(js):
+                # Of all buckets that a pair shares, the one of the first common band takes it.
+                first = (bands[js] == bands[i]).argmax(axis=1)
+                found += [(max(node[i], node[j]), min(node[i], node[j])) for j in js[bands[i][first] == bucket].tolist()]
+        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
+
+    return rows.groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, class_size, keep``: a row for each row of ``docs``.
 
@@ -158,10 +207,10 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+            keys, registers = signatures(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["doc_id", "same", "bands", "registers"])
 
-    signed = materialize(texts.select("doc_id", text_key().alias("same"), "text").mapInArrow(sign, "doc_id long, same string, bands array<long>"), "signatures")
+    signed = materialize(texts.select("doc_id", text_key().alias("same"), "text").mapInArrow(sign, "doc_id long, same string, bands array<long>, registers binary"), "signatures")
     nodes = signed.groupBy("same").agg(F.min("doc_id").alias("node"))
     copies = materialize(signed.select("doc_id", "same").join(nodes, "same").select("doc_id", "node").distinct(), "copies")
     buckets = signed.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
@@ -171,25 +220,13 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     # Equal ids with other texts would be compared with each other too: one text stands for an id.
     some = materialize(some.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "texts")
 
-    links = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "id long, root long")
-    while True:
-        placed = buckets.join(roots, buckets.node == roots.id, "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("bucket").agg(F.min(F.struct("node", "root")).alias("centre"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket", F.col("centre.node").alias("centre"), F.col("centre.root").alias("centre_root"))
-        rest = materialize(placed.join(open_, "bucket"), "open")
-        buckets = rest.where("node <> centre").select("bucket", "node")
-        pairs = rest.where("node <> centre and root <> centre_root").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if buckets.isEmpty():
-                break
-            continue
-        found = materialize(_verified(pairs, some, least), "links")
-        tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = materialize(connected_components(links), "roots")
+    centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"))
+    pairs = materialize(buckets.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    links = materialize(_verified(pairs, some, least), "links")
+    roots = materialize(connected_components(links), "roots")
+    more = materialize(_across(buckets, roots, signed).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(more, some, least))
+    roots = materialize(connected_components(links), "roots")
 
     classes = copies.join(roots, copies.node == roots.id, "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
