@@ -1,0 +1,6 @@
+"""Registered queries over the engine's operators."""
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from quantloom.plans import indicators, metrics, panels  # noqa: F401
