@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from quantloom.plans import indicators, markets, metrics, panels, risk  # noqa: F401
+    from quantloom.plans import analysis, indicators, markets, metrics, panels, risk  # noqa: F401
