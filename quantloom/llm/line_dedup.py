@@ -55,12 +55,10 @@ def _half_keys() -> F.Column:
     )
 
 
-def _variants() -> F.Column:
-    """Keys of a line: kind 0, place and rest (one word replaced); 1, rest (one word more); 2, the line (one word less)."""
+def _rests() -> F.Column:
+    """Hashes of a line without its i-th word, for each i."""
     return F.expr(
-        """array_append(flatten(transform(
-        transform(sequence(1, words), i -> struct(i AS i, concat_ws(' ', if(i > 1, substring_index(line, ' ', i - 1), NULL), if(i < words, substring_index(line, ' ', i - words), NULL)) AS rest)),
-        x -> array(struct(xxhash64(x.i, x.rest) AS key, 0 AS kind), struct(xxhash64(x.rest) AS key, 1 AS kind)))), struct(xxhash64(line) AS key, 2 AS kind))"""
+        "transform(sequence(1, words), i -> xxhash64(concat_ws(' ', if(i > 1, substring_index(line, ' ', i - 1), NULL), if(i < words, substring_index(line, ' ', i - words), NULL))))"
     )
 
 
@@ -89,13 +87,20 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     shared = materialize(shared, "halves")
     partnered = halves.join(_small(shared), "half", "left_semi").select("h1").distinct()
     chosen = materialize(first.where(F.col("words") >= EDIT_WORDS).join(partnered, "h1", "left_semi").select("first.doc_id", "first.line_no", "h1", "h2"), "partnered")
-    texts = materialize(lines.join(_small(chosen), ["doc_id", "line_no"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "line", "words"), "texts")
-
-    variants = texts.select("h1", "h2", "first", F.inline(_variants()))
-    earliest = variants.groupBy("key").agg(*(F.min(F.when(F.col("kind") == k, F.struct("first", "h1", "h2"))).alias(f"k{k}") for k in (0, 1, 2)))
-    earliest = earliest.where("k0 is not null or (k1 is not null and k2 is not null)")
-    partner = F.when(F.col("kind") == 0, F.col("k0")).when(F.col("kind") == 1, F.col("k2")).otherwise(F.col("k1"))
-    pairs = variants.join(earliest, "key").select("h1", "h2", "first", partner.alias("p")).where("p.first < first").select("h1", "h2", F.col("p.h1").alias("g1"), F.col("p.h2").alias("g2")).distinct()
+    some = docs.join(_small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = materialize(_lines(some).join(_small(chosen), ["doc_id", "line_no"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "line", "words"), "texts")
+
+    variants = materialize(texts.select("h1", "h2", "first", F.posexplode(_rests()).alias("i", "key")), "variants")
+    line_key = F.struct("first", "h1", "h2")
+    # One word replaced: equal rests at one place; the earliest settles the others.
+    alike = variants.groupBy("key", "i").agg(F.min(line_key).alias("p"), F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key", "i", "p")
+    replaced = variants.join(_small(materialize(alike, "alike")), ["key", "i"])
+    # One word more or less: the rest of one is the whole other, whose hash is h1.
+    whole = texts.select(F.col("h1").alias("key"), line_key.alias("p"))
+    longer = materialize(variants.join(_small(whole), "key").select(line_key.alias("long"), "p"), "longer")
+    shorter = longer.groupBy("p").agg(F.min("long").alias("long"))
+    pairs = replaced.select(line_key.alias("x"), "p").unionByName(longer.select(F.col("long").alias("x"), "p")).unionByName(shorter.select(F.col("p").alias("x"), F.col("long").alias("p")))
+    pairs = pairs.where("p.first < x.first").select("x.h1", "x.h2", F.col("p.h1").alias("g1"), F.col("p.h2").alias("g2")).distinct()
     own = texts.select("h1", "h2", F.col("line").alias("a"))
     other = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("b"))
     near = materialize(pairs.join(own, ["h1", "h2"]).join(other, ["g1", "g2"]).where(_one_word_apart("a", "b")).select("h1", "h2").distinct(), "near")
