@@ -12,12 +12,12 @@ register of its document.
 Equal texts are one node from the start.  Documents that agree in all rows of
 a band meet in a bucket (a pair at similarity 0.8 in none with a chance below
 1e-7), and all of a bucket are compared with its least document.  That puts
-most groups of copies into one class without making their pairs.  Buckets that
-still hold several classes are then gone through in blocks of ``BLOCK``
-documents at most: of the pairs from two classes, those whose signatures agree
-in ``AGREE`` registers (one at similarity 0.8 does not with a chance of 4e-5)
-are compared too, each in the first bucket that it shares.  Comparison is
-exact, on the multisets of both texts.
+most groups of copies into one class without making their pairs.  What still
+lies in several classes is then gone through in blocks of about ``BLOCK``
+documents: pairs from two classes that share a bucket, and whose signatures
+agree in ``AGREE`` registers (one at similarity 0.8 does not with a chance of
+4e-5), are compared until they are in one class.  Comparison is exact, on the
+multisets of both texts.
 
 Defined results: null or wordless texts equal only the same text; texts under
 ``SHINGLE`` words are one shingle; rows with equal ids are one document; rows
@@ -41,7 +41,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 32
 AGREE = 84
-BLOCK = 1024
+BLOCK, FAMILY = 256, 20_000
 #: Ids (8 bytes each) that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -130,7 +130,12 @@ def similarity(a: str | None, b: str | None) -> float:
     """Weighted Jaccard similarity of the shingle multisets; 0 where either has none and the texts differ."""
     if (a or "") == (b or ""):
         return 1.0
-    (ha, ca), (hb, cb) = _bag(a), _bag(b)
+    return overlap(_bag(a), _bag(b))
+
+
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two multisets, given as sorted values and their counts; 0 where one is empty."""
+    (ha, ca), (hb, cb) = a, b
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     both = int(np.minimum(ca[i], cb[j]).sum())
     return both / (int(ca.sum() + cb.sum()) - both) if both else 0.0
@@ -159,27 +164,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` from two classes of a bucket whose signatures agree, each once, the greater id first.
+def _across(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between classes that share a bucket, as many as join all of them that are linked.
 
-    A bucket's documents are dealt to blocks, and every two blocks meet in one
-    group: so the rows grow with the documents times the blocks of their
-    bucket, a group is bounded, and only pairs that agree leave it.
+    Documents that meet in buckets, by chains, are a family; one with several
+    classes is dealt to blocks, and every two blocks meet in one group.  (A
+    family of more than ``FAMILY`` documents is dealt bucket by bucket.)  In a
+    group, pairs of two classes that share a bucket and whose signatures agree
+    are compared, until they are in one class.  So a group is bounded, rows
+    grow with the documents times the blocks, and only links leave it.
     """
-    placed = buckets.join(roots, buckets.node == roots.id, "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1")
-    open_ = open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    registers = signed.select(F.col("doc_id").alias("node"), "bands", "registers").dropDuplicates(["node"])
-    rows = placed.join(open_, "bucket").join(registers, "node").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "bands", "registers")
+    families = materialize(connected_components(pairs), "families").select(F.col("id").alias("node"), F.col("root").alias("family"))
+    placed = families.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1")
+    rows = placed.join(open_.select("family", "n"), "family")
+    small = rows.where(F.col("n") <= FAMILY).select("node", "root", F.col("family").alias("meeting"), "n", F.lit(False).alias("bucketed"))
+    large = rows.where(F.col("n") > FAMILY).select("node", "root").join(buckets, "node")
+    sizes = large.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    large = large.join(sizes.select("bucket", "n"), "bucket").select("node", "root", F.col("bucket").alias("meeting"), "n", F.lit(True).alias("bucketed"))
+    rows = small.unionByName(large).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    registers = signed.select(F.col("doc_id").alias("node"), "bands", "registers").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    rows = rows.join(registers, "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "meeting"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucketed", "meeting", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root", "bands", "registers", "text")
 
     def meet(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        block, node, root = (group.column(c).to_numpy() for c in ("block", "node", "root"))
+        block, node = group.column("block").to_numpy(), group.column("node").to_numpy()
+        root = group.column("root").to_numpy().copy()
         bands = np.stack(group.column("bands").to_numpy())
         registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(node), -1)
+        text, bags = group.column("text"), {}
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in bags:
+                bags[i] = next(_bags([text[i].as_py()]))
+            return bags[i]
+
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         found: list[tuple[int, int]] = []
         for i in left.tolist():
@@ -187,13 +208,14 @@ def _across(buckets: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFram
             if x == y:
                 js = js[js > i]
             js = js[(registers[js] == registers[i]).sum(axis=1) >= AGREE]
-            if len(js):
-                # Of all buckets that a pair shares, the one of the first common band takes it.
-                first = (bands[js] == bands[i]).argmax(axis=1)
-                found += [(max(node[i], node[j]), min(node[i], node[j])) for j in js[bands[i][first] == bucket].tolist()]
-        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
+            js = js[(bands[js] == bands[i]).any(axis=1)]
+            for j in js.tolist():
+                if root[i] != root[j] and overlap(bag(i), bag(j)) >= least:
+                    found.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("bucket", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+    return rows.groupBy("bucketed", "meeting", "x", "y").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -224,8 +246,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     pairs = materialize(buckets.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     links = materialize(_verified(pairs, some, least), "links")
     roots = materialize(connected_components(links), "roots")
-    more = materialize(_across(buckets, roots, signed).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, some, least))
+    links = links.unionByName(materialize(_across(buckets, pairs, roots, signed, some, least), "links"))
     roots = materialize(connected_components(links), "roots")
 
     classes = copies.join(roots, copies.node == roots.id, "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
