@@ -41,10 +41,12 @@ PLAIN = "sha(1|256)?|md5|commit|hash|checksum|digest|uuid|id|version|build|phone
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, begin_word, name, value, before``: every long value with a digit, with the two tokens before it."""
     tokens = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\\s+").alias("t"))
-    found = F.expr(f"filter(transform(t, (x, i) -> struct(i, x)), p -> length(p.x) >= {CANDIDATE} AND p.x RLIKE '[0-9]')")
-    rows = tokens.select("doc_id", "t", F.explode(found).alias("p"))
-    # What comes before is read from the array, so that an explode carries two tokens and not all of them.
-    rows = rows.select("doc_id", F.col("p.i").alias("begin_word"), F.col("p.x").alias("x"), F.expr("concat_ws(' ', slice(t, greatest(p.i - 1, 1), least(p.i, 2)))").alias("before"))
+    # What comes before is read inside the array, so that an explode carries two tokens and not all of them.
+    found = F.expr(
+        f"""transform(filter(transform(t, (x, i) -> struct(i, x)), p -> length(p.x) >= {CANDIDATE} AND p.x RLIKE '[0-9]'),
+        p -> struct(p.i AS begin_word, p.x AS x, concat_ws(' ', slice(t, greatest(p.i - 1, 1), least(p.i, 2))) AS before))"""
+    )
+    rows = tokens.select("doc_id", F.inline(found))
     return _valued(rows).where(F.length("value") >= CANDIDATE).where("value RLIKE '[0-9]'")
 
 
