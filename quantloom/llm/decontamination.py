@@ -1,17 +1,15 @@
-"""Operator 6: benchmark passages in documents, by rare n-gram seeds and alignment.
+"""Operator 6: benchmark passages in documents, by n-gram seeds and alignment.
 
-Every run of ``GRAM`` words of the benchmark is looked up in every document;
-the hits give each run's document count over the whole corpus.  An item's
-seeds are its rare runs: those in at most ``COMMON`` times as many documents
-as its rarer quarter, so that every item keeps seeds even if all of it has
-leaked widely.  Documents with seeds of an item near one diagonal are aligned
-with it (Smith-Waterman over words: match 2, mismatch -1, gap -1).  The score is
-the share of the highest that the item allows; ``SCORE`` or a common run of
-``RUN`` words counts as a copy.
+Every run of ``GRAM`` words of the benchmark is looked up in every document,
+however many documents hold it.  A document with two runs of an item near one
+diagonal (one, if the item is short) is aligned with it (Smith-Waterman over
+words: match 2, mismatch -1, gap -1), unless too few words of the item occur
+there for a copy.  The score is the share of the highest that the item allows;
+``SCORE`` or a common run of ``RUN`` words counts as a copy.
 
 The benchmark is a stated query set: it is read in blocks of ``BLOCK_CHARS``
-characters, each broadcast and held against all documents.  Only hits and the
-few documents with seeds move.
+characters, each broadcast and held against all documents in one pass.  Only
+the copies found move.
 
 Defined results: null or wordless texts match nothing; an item of fewer than
 ``GRAM`` words is one run; rows with equal item or document ids count as one
@@ -21,7 +19,6 @@ are not read; an empty benchmark gives no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shingle_hashes, word_hashes, words_of
-from .near_duplicates import _slices, only
+from .near_duplicates import _slices
 
 GRAM = 4
-COMMON = 4
 SCORE, RUN = 0.5, 13
 BLOCK_CHARS = 32_000_000
 _NEAR = 12  # diagonals that count as one
@@ -56,9 +52,9 @@ class Index:
         #: Items under GRAM words are one run of their length: such lengths are looked up too.
         self.lengths = sorted({min(len(w), GRAM) for w in self.words.values() if len(w)})
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``words`` and hashes of the runs that some item has."""
-        at, found = [], []
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``words``, hashes and lengths of the runs that some item has."""
+        at, found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for length in self.lengths:
             if len(words) < length:
                 continue
@@ -67,7 +63,8 @@ class Index:
             here = np.flatnonzero(self.grams[np.minimum(i, len(self.grams) - 1)] == g)
             at.append(here)
             found.append(g[here])
-        return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            sizes.append(np.full(len(here), length))
+        return np.concatenate(at), np.concatenate(found), np.concatenate(sizes)
 
 
 @lru_cache(maxsize=2)
@@ -107,38 +104,40 @@ def longest_run(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def copies_in(index: Index, words: np.ndarray, rare: np.ndarray) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, begin word, end word, longest run) of the items that ``words`` copies; the best place of each."""
-    at, grams = index.hits(words)
-    keep = np.isin(grams, rare)
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for place, g in zip(at[keep].tolist(), grams[keep], strict=True):
-        i = int(np.searchsorted(index.grams, g))
-        while i < len(index.grams) and index.grams[i] == g:
-            item, offset = index.owners[i].tolist()
-            places[item].append((place - offset, offset))
-            i += 1
+def copies_in(index: Index, words: np.ndarray, at: np.ndarray, grams: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+    """(item, score, begin word, end word, longest run) of the items that ``words`` copies; the best place of each.
+
+    ``at``, ``grams``: the hits of ``words``.
+    """
+    low, high = np.searchsorted(index.grams, grams, "left"), np.searchsorted(index.grams, grams, "right")
+    n = high - low
+    owners = index.owners[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    items, offsets = owners[:, 0], owners[:, 1]
+    diagonals = np.repeat(at, n) - offsets
+    order = np.lexsort((offsets, diagonals, items))
+    items, diagonals, offsets = items[order], diagonals[order], offsets[order]
+    # Groups: hits of one item whose diagonals follow each other within _NEAR.
+    cuts = np.flatnonzero((np.diff(items) != 0) | (np.diff(diagonals) > _NEAR)) + 1
+    near: dict[int, list[tuple[int, int]]] = {}
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(items)], strict=True):
+        item = int(items[begin])
+        if end - begin >= 2 and (offsets[begin:end] != offsets[begin]).any() or len(index.words[item]) < 2 * GRAM:
+            near.setdefault(item, []).append((int(diagonals[begin]), int(diagonals[end - 1])))
     out = []
-    for item, hits in places.items():
+    for item, groups in near.items():
         own = index.words[item]
-        hits.sort()
-        groups: list[list[tuple[int, int]]] = []
-        for h in hits:
-            if groups and h[0] - groups[-1][-1][0] <= _NEAR:
-                groups[-1].append(h)
-            else:
-                groups.append([h])
         best: tuple[float, int, int, int] | None = None
         done = set()
-        for group in groups:
-            if len({offset for _, offset in group}) < (2 if len(own) >= 2 * GRAM else 1):
-                continue
-            low = max(0, group[0][0] - len(own) // 4 - 2)
-            high = min(len(words), group[-1][0] + len(own) + len(own) // 4 + 2)
+        for first, last in groups:
+            low = max(0, first - len(own) // 4 - 2)
+            high = min(len(words), last + len(own) + len(own) // 4 + 2)
             part = words[low:high]
             if (seen := part.tobytes()) in done:
                 continue
             done.add(seen)
+            # Neither the matches nor the longest run can be more than the words of the item that occur here.
+            if np.isin(own, part).sum() < min(SCORE * len(own), RUN):
+                continue
             score, begin, end = smith_waterman(own, part)
             share = score / (2 * len(own))
             run = longest_run(own, part)
@@ -178,41 +177,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for begin, end in _slices(all_texts, 2_000_000):
                     parts = [word_hashes(words_of(t)) for t in all_texts[begin:end]]
                     n = np.array([len(p) for p in parts])
-                    owner = np.repeat(np.arange(begin, end), n)
+                    owner = np.repeat(np.arange(len(parts)), n)
+                    start = np.cumsum(n) - n
                     flat = np.concatenate(parts)
-                    at, grams = index.hits(flat)
-                    # Runs that go over the end of a text are none of its own; shorter runs come only with short items.
-                    last = at + (GRAM if index.lengths == [GRAM] else 1) - 1
-                    inside = owner[at] == owner[np.minimum(last, len(flat) - 1)] if len(at) else np.zeros(0, bool)
-                    rows = np.unique(np.stack([owner[at[inside]], grams[inside].view(np.int64)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows[:, 0].tolist()], pa.int64()), pa.array(rows[:, 1])], ["doc_id", "gram"])
-
-        hits = materialize(texts.mapInArrow(look, "doc_id long, gram long"), "hits")
-        counts = hits.groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most one row for each run of the block
-        seen = {r.gram & 0xFFFFFFFFFFFFFFFF: r.n for r in counts}
-        rare = set()
-        for _, text in block:
-            grams = set(shingle_hashes(word_hashes(words_of(text)), GRAM).tolist())
-            n = sorted(seen[g] for g in grams if g in seen)
-            if n:
-                most = max(COMMON * n[len(n) // 4], 20)
-                rare |= {g for g in grams if seen.get(g, most + 1) <= most}
-        seeds = np.array(sorted(rare), np.uint64)
-        chosen = spark.createDataFrame(pa.table({"gram": pa.array(seeds.view(np.int64), pa.int64())}))
-        some = hits.join(F.broadcast(chosen) if len(seeds) <= 1_000_000 else chosen, "gram", "left_semi").select("doc_id").distinct()
-        kept = spark.sparkContext.broadcast(seeds)
-
-        def align(batches: Iterator[pa.RecordBatch], items=items, kept=kept) -> Iterator[pa.RecordBatch]:
-            index = _index(items.value)
-            for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rows += [(doc, *x) for x in copies_in(index, word_hashes(words_of(text)), kept.value)]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "score", "begin_word", "end_word", "run"])
-
-        out = out.unionByName(only(texts, some).select("doc_id", "text").mapInArrow(align, schema))
+                    at, grams, sizes = index.hits(flat)
+                    # Runs that go over the end of a text are none of its own.
+                    inside = owner[at] == owner[at + sizes - 1]
+                    at, grams = at[inside], grams[inside]
+                    order = np.argsort(at, kind="stable")
+                    at, grams = at[order], grams[order]
+                    texts_hit, firsts = np.unique(owner[at], return_index=True)
+                    bounds, rows = [*firsts.tolist(), len(at)], []
+                    for t, i, j in zip(texts_hit.tolist(), bounds[:-1], bounds[1:], strict=True):
+                        rows += [(ids[begin + t], *x) for x in copies_in(index, parts[t], at[i:j] - start[t], grams[i:j])]
+                    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "score", "begin_word", "end_word", "run"])
+
+        out = out.unionByName(texts.mapInArrow(look, schema))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "begin_word", "end_word", "run")).alias("x"))
     return best.select("doc_id", "item_id", "x.score", "x.begin_word", "x.end_word", "x.run")
 

@@ -51,6 +51,27 @@ def test_contamination_finds_copies_and_leaves_others(spark):
     assert dc.contaminated(d, b.where("false")).count() == 0 and dc.contaminated(d.where("false"), b).count() == 0
 
 
+def test_copies_in_many_documents_are_found(spark):
+    rng = random.Random(11)
+    item = _text(rng, 60).split()
+    edited = ["zz" if k in (6, 18, 30, 42, 54) else w for k, w in enumerate(item)]
+    # Three exact copies; an edited copy and half an item in many documents, which hold none of the rare runs.
+    docs = [(i, f"{_text(rng, 30)} {' '.join(item)} {_text(rng, 9)}") for i in range(3)]
+    docs += [(100 + i, f"{_text(rng, 30)} {' '.join(edited)} {_text(rng, 9)}") for i in range(120)]
+    docs += [(300 + i, f"{_text(rng, 30)} {' '.join(edited[31:42])} {' '.join(edited[7:18])} {' '.join(item[19:30])}") for i in range(5)]
+    docs += [(400 + i, f"{_text(rng, 30)} {' '.join(item[7:29])}") for i in range(5)]
+    docs += [(500 + i, f"{_text(rng, 30)} {' '.join(item[7:13])} {_text(rng, 60)}") for i in range(30)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    index = dc.Index([(0, " ".join(item))])
+    expected = set()
+    for i, t in docs:
+        words = word_hashes(words_of(t))
+        if dc.smith_waterman(index.words[0], words)[0] / 120 >= dc.SCORE or dc.longest_run(index.words[0], words) >= dc.RUN:
+            expected.add(i)
+    assert {*range(3), *range(100, 220), *range(400, 405)} <= expected and expected.isdisjoint(range(500, 530))
+    assert {r.doc_id for r in dc.contaminated(d, b).collect()} == expected
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, _text(rng, 20)) for i in range(5)]
