@@ -125,6 +125,25 @@ def test_every_long_shared_passage_is_found(spark, rows):
     assert ps.shared_passages(docs.where("false")).count() == 0
 
 
+def test_align_keeps_passages_in_any_order():
+    rng = random.Random(21)
+    p, q, hot = _text(rng, 60), _text(rng, 55), _text(rng, 6)
+    fill = lambda k: " ".join(f"f{k}x{i}" for i in range(30))
+
+    def passages(a, b):
+        wa, wb = a.split(), b.split()
+        every = [i - j for i in range(len(wa)) for j in range(len(wb)) if wa[i : i + 5] == wb[j : j + 5]]
+        return {(x[0], x[2]) for x in ps.align(a, b, every)}
+
+    assert passages(f"{p} {fill(1)} {q}", f"{q} {fill(2)} {p}") == {(0, 85), (90, 0)}  # opposite order
+    assert passages(f"{p} {fill(1)} {p}", f"{fill(2)} {p}") == {(0, 30), (90, 30)}  # twice in a
+    assert passages(f"{hot} {fill(1)} {p}", f"{p} {fill(2)} {hot}") == {(36, 0)}  # a short run early in a and late in b
+    assert passages(f"{p} {q}", f"{p} {q}") == {(0, 0)}
+    assert len(ps.align(" ".join(["la"] * 60), " ".join(["la"] * 300), list(range(-240, 1)))) == 5  # no row for each shift
+    words = p.split()
+    assert passages(p, " ".join([*words[:30], "more", *words[30:]])) == {(0, 0)}  # one word more
+
+
 def _apart(a, b):
     """Word distance of at most one."""
     a, b = a.split(" "), b.split(" ")
