@@ -144,6 +144,20 @@ def test_align_keeps_passages_in_any_order():
     assert passages(p, " ".join([*words[:30], "more", *words[30:]])) == {(0, 0)}  # one word more
 
 
+def test_recall_of_near_passages(spark):
+    rng = random.Random(31)
+    data = []
+    for i in range(600):
+        passage = [f"p{i}x{k}" for k in range(50)]
+        near = [*passage[:24], "other", *passage[25:]]  # similarity 41 of 51, 0.804
+        for k, p in enumerate((passage, near)):
+            fill = [f"f{i}x{k}x{n}" for n in range(60)]
+            data.append((2 * i + k, " ".join([*fill[: rng.randrange(30)], *p, *fill[30:]])))
+    rows = ps.shared_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len({r.class_id for r in rows}) >= 0.995 * 600
+    assert all(r.doc_id // 2 == r.other_id // 2 and r.similarity >= 0.8 for r in rows)
+
+
 def _apart(a, b):
     """Word distance of at most one."""
     a, b = a.split(" "), b.split(" ")
