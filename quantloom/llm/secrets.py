@@ -1,8 +1,10 @@
 """Operator 10: secret scans, by candidates and a random forest, in SQL functions.
 
-Candidates are the values of ``CANDIDATE`` characters or more, with a digit, of
-white-space tokens: after a ``key=`` or ``key:``, without quotes and marks at
-the ends.  A random forest then tells secrets from other long values by length,
+Candidates are the values of white-space tokens and of their pieces between
+quotes, commas, semicolons, ampersands and braces: after a ``key=`` or ``key:``,
+without quotes and marks at the ends.  After a name of ``ASKED`` (in the token,
+or before it with ``=`` or ``:``) every value is one; others have ``CANDIDATE``
+characters or more and a digit.  A random forest then tells secrets from other long values by length,
 kinds of characters and transitions between them, the share of the value that
 is words of the corpus, whether it looks like a path, and the words before it.
 
@@ -13,7 +15,8 @@ corpus's words are counted over all texts; those of ``WORD_COUNT`` occurrences
 or more are words, joined by value, not broadcast.
 
 Rows: texts do not move; candidates and word counts, summed before, do.
-Defined results: null or empty texts have no candidates; equal rows give their
+Defined results: a token gives each name and value once, and gives its whole
+value too unless further names or quoted values are in it; null or empty texts have no candidates; equal rows give their
 findings each; rows with null ids are scanned like others; other columns are
 not read; an empty table gives no rows.
 """
@@ -38,22 +41,37 @@ ASKED = "pass(word|wd)?|pwd|token|secret|api_?key|access_?key|auth|credential|pr
 PLAIN = "sha(1|256)?|md5|commit|hash|checksum|digest|uuid|id|version|build|phone|card|mail|date|isbn|order|invoice"
 
 
+_NAMED = f"(^|[^a-z])({ASKED})([^a-z]|$)"
+# A secret-like name with = or : at the end of the tokens before.
+_BEFORE = f"(^|[^a-z])({ASKED})[\"']?\\s*[=:]+>?[\"']?$"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, begin_word, name, value, before``: every long value with a digit, with the two tokens before it."""
+    """``doc_id, begin_word, name, value, before``: every long value with a digit and every value of a secret-like name, with the two tokens before it."""
     tokens = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\\s+").alias("t"))
     # What comes before is read inside the array, so that an explode carries two tokens and not all of them.
     found = F.expr(
-        f"""transform(filter(transform(t, (x, i) -> struct(i, x)), p -> length(p.x) >= {CANDIDATE} AND p.x RLIKE '[0-9]'),
+        f"""transform(filter(transform(t, (x, i) -> struct(i, x)), p -> (length(p.x) >= {CANDIDATE} AND p.x RLIKE '[0-9]')
+            OR ((contains(p.x, '=') OR contains(p.x, ':')) AND lower(p.x) RLIKE '{ASKED}')
+            OR (p.i > 0 AND (contains(get(t, p.i - 1), '=') OR contains(get(t, p.i - 1), ':')) AND lower(concat_ws(' ', get(t, p.i - 2), get(t, p.i - 1))) RLIKE '{ASKED}')),
         p -> struct(p.i AS begin_word, p.x AS x, concat_ws(' ', slice(t, greatest(p.i - 1, 1), least(p.i, 2))) AS before))"""
     )
     rows = tokens.select("doc_id", F.inline(found))
-    return _valued(rows).where(F.length("value") >= CANDIDATE).where("value RLIKE '[0-9]'")
+    # A quoted name is joined to its value before the token is cut at quotes.
+    pieces = F.split(F.regexp_replace("x", "[\"']?([=:])[\"']?", "$1"), "[\"'`,;&{}]+|[?](?=[A-Za-z_][A-Za-z0-9_.-]*=)")
+    several = F.regexp_like("x", F.lit("[A-Za-z0-9_][\"'][=:]|[\"'][,;]|[\"',;&{}?][A-Za-z_][A-Za-z0-9_.-]*[\"']?="))
+    valued = F.array_distinct(F.transform(F.concat(F.when(several, F.array().cast("array<string>")).otherwise(F.array("x")), pieces), _valued))
+    rows = rows.select("doc_id", "begin_word", "before", F.inline(valued))
+    asked = F.col("name").rlike(_NAMED) | ((F.col("name") == "") & F.lower("before").rlike(_BEFORE))
+    long = (F.length("value") >= CANDIDATE) & F.col("value").rlike("[0-9]")
+    return rows.where("value <> ''").where(long | asked).select("doc_id", "begin_word", "name", "value", "before")
 
 
-def _valued(rows: DataFrame) -> DataFrame:
-    parts = F.regexp_extract("x", "^([A-Za-z_][A-Za-z0-9_.-]*)[=:](.+)$", 1), F.regexp_extract("x", "^([A-Za-z_][A-Za-z0-9_.-]*)[=:](.+)$", 2)
-    value = F.regexp_replace(F.when(F.length(parts[1]) > 0, parts[1]).otherwise(F.col("x")), "^[\"'(<\\[{,;:]+|[\"')>\\]},;:.!?|#%&*$]+$", "")
-    return rows.withColumn("name", F.lower(parts[0])).withColumn("value", value)
+def _valued(x: Column) -> Column:
+    """``name, value`` of a token or a piece of one."""
+    parts = F.regexp_extract(x, "^[?]?([A-Za-z_][A-Za-z0-9_.-]*)[=:](.+)$", 1), F.regexp_extract(x, "^[?]?([A-Za-z_][A-Za-z0-9_.-]*)[=:](.+)$", 2)
+    value = F.regexp_replace(F.when(F.length(parts[1]) > 0, parts[1]).otherwise(x), "^[\"'(<\\[{,;:]+|[\"')>\\]},;:.!?|#%&*$]+$", "")
+    return F.struct(F.lower(parts[0]).alias("name"), value.alias("value"))
 
 
 def _share(pattern: str) -> Column:
@@ -78,7 +96,7 @@ def featured(rows: DataFrame, words: DataFrame) -> DataFrame:
             "changes": single / F.length("value"),
             "vowels": F.regexp_count("value", F.lit("[aeiouAEIOU]")) / F.greatest(letters, F.lit(1)),
             "path": flag(F.col("value").rlike("^(https?:|www\\.|/|\\.{1,2}/|[A-Za-z]:\\\\)|/.*/|@|\\.(com|org|net|html?|py|txt|json)\\b")),
-            "asked": flag(near.rlike(f"(^|[^a-z])({ASKED})([^a-z]|$)")),
+            "asked": flag(near.rlike(_NAMED)),
             "plain": flag(near.rlike(f"(^|[^a-z])({PLAIN})([^a-z]|$)")),
             "paired": flag((F.length("name") > 0) | F.col("before").rlike("[=:]$")),
         }
@@ -111,6 +129,11 @@ def findings(spark: SparkSession, vocabulary: list[str]) -> DataFrame:
         (1, f"concat({word(1)}, ' ', {word(2)})", "''", f"concat('AKIA', {upper(16, 30)})"),
         (1, "'secret key:'", "''", mixed(40, 40)),
         (1, f"concat({word(1)}, ' ', {word(2)})", "'api_key'", mixed("20 + cast(pmod(id, 20) AS int)", 50)),
+        (1, f"concat({word(1)}, ' ', {word(2)})", "'password'", mixed("7 + cast(pmod(id, 8) AS int)", 80)),
+        (1, f"concat({word(1)}, ' pwd:')", "''", f"concat({hexa(3, 'i')}, substr({word(3)}, 1, 3), {digits(2, 81)})"),
+        (1, f"concat({word(1)}, ' ', {word(2)})", "'secret'", f"translate({mixed('10 + cast(pmod(id, 20) AS int)', 90)}, '0123456789+/', 'qXwZkvJpGbtR')"),
+        (0, f"concat({word(1)}, ' ', {word(2)})", "'password'", word(3)),
+        (0, f"concat({word(1)}, ' token:')", "''", word(4)),
         (1, "'Authorization: Bearer'", "''", f"concat('eyJ', {mixed(36, 60)}, '.', {mixed(30, 61)})"),
         (0, f"concat({word(1)}, ' ', {word(2)})", "''", digits(16, 70)),
         (0, f"concat({word(1)}, ' ', {word(2)})", "''", f"concat({word(3)}, '.', {digits(2, 71)}, '@mail', pmod(id, 10), '.example.com')"),

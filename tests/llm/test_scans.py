@@ -196,5 +196,26 @@ def test_secrets(spark):
     assert {r.value_sha256 for r in rows if r.doc_id is None} == {hashlib.sha256(b"0a1b2c3d4e5f60718293").hexdigest()}
 
 
+def test_secrets_short_and_several_in_a_token(spark):
+    tokens = {
+        0: ("password=Tr0ub4dor", {"Tr0ub4dor"}),
+        1: ("pwd: x7Qhunt2", {"x7Qhunt2"}),
+        2: ("secret = QwXkvJpGbtRzLmNq", {"QwXkvJpGbtRzLmNq"}),
+        3: ('{"user":"bob","password":"k3Jq9vTz","api_key":"9f8Ae7d6Bc5b4a3928Xq"}', {"k3Jq9vTz", "9f8Ae7d6Bc5b4a3928Xq"}),
+        4: ("pwd=a8Kd92xQ;token=0a1b2c3d4e5f60718293a4b5c6d7e8f9", {"a8Kd92xQ", "0a1b2c3d4e5f60718293a4b5c6d7e8f9"}),
+        5: ("https://h.example.com/p?a=1&token=0a1b2c3d4e5f60718293", {"0a1b2c3d4e5f60718293"}),
+        6: ("https://h.example.com/p?token=1a1b2c3d4e5f60718293", {"1a1b2c3d4e5f60718293"}),
+        7: ("password=ab;cd&0a1b2c3d4e5f", {"ab;cd&0a1b2c3d4e5f"}),
+    }
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, f"{_text(rng, 20)} {t} {_text(rng, 20)}") for i, (t, _) in tokens.items()], "doc_id long, text string")
+    found = [(r.doc_id, r.value) for r in secrets.candidates(docs).collect()]
+    assert len(found) == len(set(found))
+    assert all((i, v) in found for i, (_, values) in tokens.items() for v in values)
+    called = {(r.doc_id, r.value_sha256) for r in secrets.scan(docs).collect() if r.is_secret}
+    for i in (0, 1, 2, 3, 4):
+        assert {(i, hashlib.sha256(v.encode()).hexdigest()) for v in tokens[i][1]} <= called, i
+
+
 def test_words_hash_alike():
     assert word_hashes(words_of("A b a")).tolist()[0] == word_hashes(["a"]).tolist()[0]
