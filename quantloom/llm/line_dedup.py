@@ -3,7 +3,8 @@
 Lines are compared after runs of blanks are made one.  A line goes if an
 earlier line, by document id and line number, is the same, or differs from it
 by one word put in, taken out or replaced (lines of ``EDIT_WORDS`` words or
-more).  Lines of under ``LEAST_WORDS`` words stay.
+more).  Lines of under ``LEAST_WORDS`` words stay, unless ``least_words`` is
+given as 1: then every line but the empty one is compared.
 
 Every distinct line that may have such a partner emits the line without its
 i-th word, for each i, as hashed keys.  Lines with equal keys for one i differ
@@ -38,13 +39,13 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, line_no, line`` (blanks made one, none at the ends) and ``words``, without short lines."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\r\\f]+", " ")
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "line_no", F.trim("raw").alias("line"))
     words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return lines.where(words >= LEAST_WORDS).select("doc_id", "line_no", "line", words.alias("words"))
+    return lines.where(words >= least_words if least_words > 1 else F.col("line") != "").select("doc_id", "line_no", "line", words.alias("words"))
 
 
 def _half_keys() -> F.Column:
@@ -73,9 +74,9 @@ def _one_word_apart(a: str, b: str) -> F.Column:
     )
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, same, near``: the numbers of the lines that go, from 0, for documents that lose any."""
-    lines = _lines(docs)
+    lines = _lines(docs, least_words)
     keyed = lines.select("doc_id", "line_no", "words", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.when(F.col("words") >= EDIT_WORDS, _half_keys()).alias("halves"))
     keyed = materialize(keyed, "lines")
     place = F.struct("doc_id", "line_no")
@@ -88,7 +89,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     partnered = halves.join(_small(shared), "half", "left_semi").select("h1").distinct()
     chosen = materialize(first.where(F.col("words") >= EDIT_WORDS).join(partnered, "h1", "left_semi").select("first.doc_id", "first.line_no", "h1", "h2"), "partnered")
     some = docs.join(_small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    texts = materialize(_lines(some).join(_small(chosen), ["doc_id", "line_no"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "line", "words"), "texts")
+    texts = materialize(_lines(some, least_words).join(_small(chosen), ["doc_id", "line_no"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), "line", "words"), "texts")
 
     variants = materialize(texts.select("h1", "h2", "first", F.posexplode(_rests()).alias("i", "key")), "variants")
     line_key = F.struct("first", "h1", "h2")
@@ -133,11 +134,11 @@ def _with_gone(docs: DataFrame) -> DataFrame:
     return docs.join(_small(gone), "doc_id", "left")
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated lines out of ``text``, ``n_chars`` made to fit; all rows and columns stay."""
     columns = docs.columns
     ready = docs.select(*columns)
-    gone = materialize(dropped_lines(docs.select("doc_id", "text")), "gone").select("doc_id", F.col("same").alias("__same"), F.col("near").alias("__near"))
+    gone = materialize(dropped_lines(docs.select("doc_id", "text"), least_words), "gone").select("doc_id", F.col("same").alias("__same"), F.col("near").alias("__near"))
     out = ready.join(_small(gone), "doc_id", "left")
     text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(kept_text("text", "__same", "__near"))
     out = out.withColumn("text", text)

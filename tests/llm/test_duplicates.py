@@ -212,3 +212,11 @@ def test_lines_odd_rows(spark):
     out = line_dedup.line_report(docs).collect()
     assert len(out) == 4 and sum(r.n_same for r in out) == 1
     assert line_dedup.line_report(docs.where("false")).count() == 0
+
+
+def test_pipeline_drops_repeated_lines_of_any_length(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "Les.\n\nAnd ornd.\n漢字漢字漢字漢字\na b c d"), (2, "Les.\n\nother\nAnd  ornd.\n漢字漢字漢字漢字\na b c d"), (None, "Les.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {1: docs.where("doc_id = 1").first().text, 2: "\nother", None: "Les."}
