@@ -3,27 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+#: Settings of a session that ``arrow_map`` and ``materialize`` use.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none (tests, notebooks on one machine) a folder of
-    this machine is made.
+    Only where a session has none and runs on this machine alone (tests,
+    notebooks) a folder of this machine is made; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -34,29 +43,88 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage with files that every executor can read again after
     a loss, and keeps a table that several branches use from being made twice.
+    The shuffle files of the write go when it ends: nothing else reads them.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quantloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def release_scratch() -> None:
-    """Delete the tables that ``materialize`` has written so far."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+def _delete(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be gone at exit
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit
-            return
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` of which nothing is read any more."""
+    for table in tables:
+        _delete(table._scratch_path)
+
+
+def release_scratch(keep: DataFrame | None = None) -> None:
+    """Delete the tables that ``materialize`` has written so far, but for ``keep``."""
+    for path in [p for p in _made if keep is None or p != keep._scratch_path]:
+        _delete(path)
 
 
 atexit.register(release_scratch)
 
 
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` with bounded memory.
+
+    Batches that Spark sends are kept to 8 MB (one row at least): the session's
+    limit is lowered to that if it is higher.  When a task ends, what its worker
+    remembers of texts is forgotten, since the process serves later tasks.
+    """
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(_BATCH, "64m")) > _BATCH_BYTES:
+        conf.set(_BATCH, str(_BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            forget()
+
+    return df.mapInArrow(run, schema)
+
+
+def _bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    n = int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit[:1]]
+    return n if n > 0 else 1 << 62
+
+
+#: Called when a task ends.
+_forgets: list[Callable[[], None]] = []
+
+
+def forgotten(clear: Callable[[], None]) -> None:
+    """Have ``clear`` called when a task of ``arrow_map`` ends."""
+    _forgets.append(clear)
+
+
+def forget() -> None:
+    for clear in _forgets:
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than glibc's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,6 +133,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def one_text_each(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with every id once, without null ids; of rows with an equal id the least text stays (null as empty).
+
+    Only the ids are counted over all rows; texts move where an id is repeated.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    repeated = materialize(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        release(repeated)
+        return texts
+    one = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.join(repeated, "doc_id", "left_anti").unionByName(one)
+
+
 WORD = re.compile(r"\w+")
 
 
@@ -90,7 +172,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word -> 64-bit hash; forgets everything when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_partitions
+from .common import arrow_map, mix64, shuffle_partitions
 from .near_duplicates import step
 from .passages import sliding_minimum
 
@@ -122,7 +122,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 names,
             )
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "range int, after boolean, place long, doc_id long, text string, print binary")
+    dealt = arrow_map(docs.select("doc_id", "text"), deal, "range int, after boolean, place long, doc_id long, text string, print binary")
     dealt = dealt.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "after", F.desc("place"), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +143,6 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return dealt.select("range", "after", "place", "doc_id", "text", "print").mapInArrow(
-        compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return arrow_map(
+        dealt.select("range", "after", "place", "doc_id", "text", "print"), compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
+
 SPACE = "▁"
 LONG = 64  # characters; states of longer chunks are not remembered
 
@@ -289,4 +291,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

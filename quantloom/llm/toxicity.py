@@ -13,8 +13,8 @@ Labels are learned from at most ``SAMPLE`` labelled documents, those with the
 least hash of their id, and never from held-out rows (crc32 of the id as text
 modulo 5 is 0).  The lexicon is bounded by ``ENTRIES``.
 
-Rows: two passes over the sample, one over all texts, no shuffle of texts.
-Defined results: null and wordless texts get the score of a text in which
+Rows: the sample is written once and read three times; one pass over all
+texts, without a shuffle of them.  Defined results: null and wordless texts get the score of a text in which
 nothing is found; rows with null ids are scored and not held out; repeated rows
 give a row each; of repeated labels the highest counts; without labelled rows
 of both kinds every score is 0; other columns are not read.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_map, materialize, release
 
 SAMPLE = 12_000
 ENTRIES = 4_096
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    known = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
@@ -180,10 +180,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         entries = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([seen[1][e] for e in entries], pa.int64()), pa.array([seen[0][e] for e in entries], pa.int64())], ["entry", "t", "c"])
 
-    counts = known.mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = arrow_map(known, count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     found_ = {r.entry: (r.t, r.c) for r in counts.where("entry = '' or t >= 4").collect()}
     toxic, other = found_.pop("", (0, 0))
     if not toxic or not other:
+        release(known)
         return Lexicon({})
     lexicon = Lexicon(choose(found_, toxic, other))
     entries = spark.sparkContext.broadcast(lexicon)
@@ -201,7 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
                 label.append(int(bool(toxic)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), pa.array(around, pa.list_(pa.string())), pa.array(label, pa.int32())], ["x", "around", "toxic"])
 
-    measured = known.mapInArrow(measure, "x array<double>, around array<string>, toxic int").collect()
+    measured = arrow_map(known, measure, "x array<double>, around array<string>, toxic int").collect()
+    entries.unpersist()
     near: tuple[Counter[str], Counter[str]] = Counter(), Counter()
     for r in measured:
         near[r.toxic].update(r.around)
@@ -216,31 +218,50 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
                 x = [features(found(automaton, w, entries.value.exceptions), len(w)) for w in words]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-        measured = known.mapInArrow(again, "x array<double>, toxic int").collect()
+        measured = arrow_map(known, again, "x array<double>, toxic int").collect()
+        entries.unpersist()
+    release(known)
     lexicon.model = fit_logistic(np.array([r.x for r in measured]), np.array([r.toxic for r in measured], float))
     return lexicon
 
 
+class Scorer:
+    """Scores texts by a lexicon; one for each task."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.automaton, self.exceptions, self.model = lexicon.automaton(), lexicon.exceptions, lexicon.model
+
+    def score(self, text: str | None) -> tuple[float, int]:
+        """Score of a text and the number of entries found in it."""
+        words = fold(text)
+        hits = found(self.automaton, words, self.exceptions)
+        if not self.model:
+            return 0.0, len(hits)
+        z = sum(a * b for a, b in zip((*features(hits, len(words)), 1.0), self.model, strict=True))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))), len(hits)
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_found`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, exceptions, model = shared.value.automaton(), shared.value.exceptions, shared.value.model
+        scorer = Scorer(shared.value)
         for batch in batches:
-            scores, n = [], []
-            for text in batch.column(2).to_pylist():
-                words = fold(text)
-                hits = found(automaton, words, exceptions)
-                z = sum(a * b for a, b in zip((*features(hits, len(words)), 1.0), model, strict=True)) if model else -math.inf
-                scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if model else 0.0)
-                n.append(len(hits))
+            scored = [scorer.score(t.as_py()) for t in batch.column(2)]
+            scores, n = [s for s, _ in scored], [n for _, n in scored]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(n, pa.int32())], ["doc_id", "held_out", "score", "predicted", "n_found"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_found int")
+    return arrow_map(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int, n_found int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` without the rows predicted to be toxic; all columns as they are."""
-    gone = materialize(score_toxicity(docs, lexicon).where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the rows predicted to be toxic, each row by its own text; all columns as they are."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t.as_py())[0] < 0.5 for t in batch.column(place)], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
