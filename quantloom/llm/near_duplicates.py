@@ -20,7 +20,8 @@ agree in ``AGREE`` registers (one at similarity 0.8 does not with a chance of
 multisets of both texts.
 
 Defined results: null or wordless texts equal only the same text; texts under
-``SHINGLE`` words are one shingle; rows with equal ids are one document; rows
+``SHINGLE`` words are one shingle; rows with equal ids are one document, of the
+least of their texts; rows
 with a null id are kept, with a null class; other columns are not read.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shingle_hashes, text_key, word_hashes, words_of
+from .common import arrow_map, forgotten, materialize, mix64, one_text_each, release, shingle_hashes, text_key, word_hashes, words_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -126,6 +127,9 @@ def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return next(_bags([text]))
 
 
+forgotten(_bag.cache_clear)
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """Weighted Jaccard similarity of the shingle multisets; 0 where either has none and the texts differ."""
     if (a or "") == (b or ""):
@@ -161,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             close = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    return with_texts(pairs, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return arrow_map(with_texts(pairs, texts).select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def _across(buckets: DataFrame, pairs: DataFrame, roots: DataFrame, signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -225,22 +229,21 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
     ``class_id`` is its least id, and ``keep`` marks that document.
     """
     spark = docs.sparkSession
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    texts = one_text_each(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, registers = signatures(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["doc_id", "same", "bands", "registers"])
 
-    signed = materialize(texts.select("doc_id", text_key().alias("same"), "text").mapInArrow(sign, "doc_id long, same string, bands array<long>, registers binary"), "signatures")
+    signed = materialize(arrow_map(texts.select("doc_id", text_key().alias("same"), "text"), sign, "doc_id long, same string, bands array<long>, registers binary"), "signatures")
     nodes = signed.groupBy("same").agg(F.min("doc_id").alias("node"))
     copies = materialize(signed.select("doc_id", "same").join(nodes, "same").select("doc_id", "node").distinct(), "copies")
     buckets = signed.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
     buckets = materialize(buckets.join(shared, "bucket").select("bucket", "node"), "buckets")
     some = only(texts, buckets.select(F.col("node").alias("doc_id")).distinct())
-    # Equal ids with other texts would be compared with each other too: one text stands for an id.
-    some = materialize(some.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "texts")
+    some = materialize(some, "texts")
 
     centres = buckets.groupBy("bucket").agg(F.min("node").alias("centre"))
     pairs = materialize(buckets.join(centres, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
@@ -257,6 +260,17 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicate_classes`` does not keep; of rows with an equal id the least text stays."""
+    """``docs`` without the rows that ``near_duplicate_classes`` does not keep; of rows with an equal id one of the least text stays.
+
+    Rows with a null id stay.  All columns are kept as they are.
+    """
     gone = near_duplicate_classes(docs, least).where("not keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone, "doc_id", "left_anti")
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        release(repeated)
+        return left.select(*docs.columns)
+    # An aggregate and not a window, so that a repeated id is summed before it is shuffled.
+    every = F.struct(*(F.col(c) for c in docs.columns))
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
