@@ -68,7 +68,9 @@ def test_null_ids_repeats_and_empty(spark):
     out = nd.near_duplicate_classes(docs).collect()
     assert len(out) == 4 and [r.keep for r in out if r.doc_id is None] == [True]
     assert {r.class_id for r in out if r.doc_id == 1} == {1}
-    assert nd.drop_near_duplicates(docs).count() == 4
+    assert sorted((r.doc_id or 0, r.text) for r in nd.drop_near_duplicates(docs).collect()) == [(0, "a b c"), (1, "a b c"), (2, None)]
+    several = spark.createDataFrame([(1, "b b b", "x"), (1, "a a a", "y"), (1, None, "z"), (3, "q", "r")], "doc_id long, text string, id string")
+    assert sorted((r.doc_id, r.text, r.id) for r in nd.drop_near_duplicates(several).collect()) == [(1, None, "z"), (3, "q", "r")]
     assert nd.near_duplicate_classes(docs.where("false")).count() == 0
 
 
@@ -130,16 +132,19 @@ def test_align_keeps_passages_in_any_order():
     p, q, hot = _text(rng, 60), _text(rng, 55), _text(rng, 6)
     fill = lambda k: " ".join(f"f{k}x{i}" for i in range(30))
 
+    def align(a, b, diagonals):
+        return ps.align(*(np.frombuffer(ps.packed_words(t), "<u4") for t in (a, b)), diagonals)
+
     def passages(a, b):
         wa, wb = a.split(), b.split()
         every = [i - j for i in range(len(wa)) for j in range(len(wb)) if wa[i : i + 5] == wb[j : j + 5]]
-        return {(x[0], x[2]) for x in ps.align(a, b, every)}
+        return {(x[0], x[2]) for x in align(a, b, every)}
 
     assert passages(f"{p} {fill(1)} {q}", f"{q} {fill(2)} {p}") == {(0, 85), (90, 0)}  # opposite order
     assert passages(f"{p} {fill(1)} {p}", f"{fill(2)} {p}") == {(0, 30), (90, 30)}  # twice in a
     assert passages(f"{hot} {fill(1)} {p}", f"{p} {fill(2)} {hot}") == {(36, 0)}  # a short run early in a and late in b
     assert passages(f"{p} {q}", f"{p} {q}") == {(0, 0)}
-    assert len(ps.align(" ".join(["la"] * 60), " ".join(["la"] * 300), list(range(-240, 1)))) == 5  # no row for each shift
+    assert len(align(" ".join(["la"] * 60), " ".join(["la"] * 300), list(range(-240, 1)))) == 5  # no row for each shift
     words = p.split()
     assert passages(p, " ".join([*words[:30], "more", *words[30:]])) == {(0, 0)}  # one word more
 
