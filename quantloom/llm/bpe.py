@@ -280,7 +280,7 @@ def frequent_words(docs: DataFrame, vocabulary, share: float = 2e-6, size: int =
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in map(pa.Scalar.as_py, batch.column(0)):
+            for text in (t.as_py() for t in batch.column(0)):
                 if text:
                     seen.update(codec.words(text))
             if len(seen) > 1_000_000:
@@ -309,7 +309,7 @@ def encode(docs: DataFrame, vocabulary_path: str, with_ids: bool = False, lexico
         codec = codec_of(vocabulary.value, lexicon.value)
         for batch in batches:
             n, a, b, all_ids, all_text = [], [], [], [], []
-            for text in map(pa.Scalar.as_py, batch.column(1)):
+            for text in (t.as_py() for t in batch.column(1)):
                 pieces = codec.pieces_of(text)
                 ids = b"".join([p[0] for p in pieces])
                 decoded = " ".join([p[1] for p in pieces if p[1]])
