@@ -73,9 +73,14 @@ def release(*tables: DataFrame) -> None:
         _delete(table._scratch_path)
 
 
-def release_scratch(keep: DataFrame | None = None) -> None:
-    """Delete the tables that ``materialize`` has written so far, but for ``keep``."""
-    for path in [p for p in _made if keep is None or p != keep._scratch_path]:
+def scratch_tables() -> frozenset[str]:
+    """The tables of ``materialize`` that are there now."""
+    return frozenset(_made)
+
+
+def release_scratch(*keep: DataFrame, older: frozenset[str] = frozenset()) -> None:
+    """Delete the tables that ``materialize`` has written, but for ``keep`` and ``older``."""
+    for path in {*_made} - older - {k._scratch_path for k in keep}:
         _delete(path)
 
 
