@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Memo, arrow_map
 
 # Characters for which NFC is the identity, lower-casing is one to
 # one and the classes of letters, digits and signs are as written here.
@@ -117,7 +117,8 @@ class Automaton:
         for n, kind in zip(head[1:], (np.uint32, np.uint8, np.uint32, np.uint32, np.uint8, np.uint32, np.uint32), strict=True):
             out.append(view[at : at + n].cast("B" if kind is np.uint8 else "I"))
             at += n
-        self.first, self.label, self.target, self.skip, self.final, self.at, self.ids = out
+        self.first, label, self.target, self.skip, self.final, self.at, self.ids = out
+        self.label = label.tobytes()  # a byte an edge, searched within a state
         self.size = len(self.at) - 1
 
     def find(self, word: bytes) -> bytes | None:
@@ -125,20 +126,18 @@ class Automaton:
         state, number = self.root, 0
         first, label = self.first, self.label
         for c in word:
-            for e in range(first[state], first[state + 1]):
-                if label[e] == c:
-                    number += self.skip[e]
-                    state = self.target[e]
-                    break
-            else:
+            e = label.find(c, first[state], first[state + 1])
+            if e < 0:
                 return None
+            number += self.skip[e]
+            state = self.target[e]
         return self.ids[self.at[number] : self.at[number + 1]].tobytes() if self.final[state] else None
 
 
 class Codec:
     """Encoder and decoder of one vocabulary file; ``lexicon``: an automaton's bytes."""
 
-    def __init__(self, vocabulary: bytes, lexicon: bytes | None = None, memo_limit: int = 60_000):
+    def __init__(self, vocabulary: bytes, lexicon: bytes | None = None, memo_limit: int = 120_000):
         from tokenizers import Regex, Tokenizer
         from tokenizers.pre_tokenizers import Split
 
@@ -163,7 +162,7 @@ class Codec:
                 f.write(lexicon)
                 f.flush()
                 self.automaton = Automaton(mmap.mmap(f.fileno(), len(lexicon), access=mmap.ACCESS_READ))
-        self.encoded = _Memo(self.encode_word, memo_limit)
+        self.encoded = Memo(self.encode_word, memo_limit)
 
     def words(self, section: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -234,22 +233,6 @@ class Codec:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-class _Memo(dict):
-    """Remembers what ``make`` gave for each key; forgets all of it when full."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self.make(key)
-        if len(key) <= 128:
-            self[key] = value
-        return value
-
-
 _codecs: dict[tuple[int, int], Codec] = {}
 
 

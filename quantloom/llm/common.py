@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,23 +175,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; forgets everything when it holds ``limit`` words."""
+class Memo(dict):
+    """Remembers what ``make`` gave for the last keys: the newest ``limit``, and those of the ``limit`` before.
 
-    def __init__(self, limit: int = 100_000):
+    Keys asked for again move to the newest, so frequent ones stay.
+    """
+
+    def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.limit = limit
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 128:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_hashes = WordHashes()
+_hashes = Memo(word_hash, 60_000)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
