@@ -61,23 +61,49 @@ def bollinger_signal(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 
 def recursive_signal(bars: DataFrame, kind: str, oversold: float = 30, overbought: float = 70, strength: float = 25) -> DataFrame:
-    """``rsi``, ``macd`` or ``adx`` signals from one pass over the recursive indicators."""
+    """``rsi``, ``macd`` or ``adx`` signals from one pass over the recursive indicators; bars without a value hold the state."""
     panel = bars.join(ind.recursive_panel(bars), ["entity", "date"])
     if kind == "macd":
-        signal = F.when(F.col("macd") > F.col("macd_signal"), 1.0).otherwise(0.0)
+        up = F.nanvl(F.col("macd") - F.col("macd_signal"), F.lit(None)) > 0
+        signal = latch(up, ~up)
     elif kind == "adx":
-        signal = F.when((F.col("adx") > strength) & (F.col("plus_di") > F.col("minus_di")), 1.0).otherwise(0.0)
+        known = [F.nanvl(F.col(c), F.lit(None)) for c in ("adx", "plus_di", "minus_di")]
+        up = F.when(known[0].isNotNull() & known[1].isNotNull() & known[2].isNotNull(), (known[0] > strength) & (known[1] > known[2]))
+        signal = latch(up, ~up)
     elif kind == "rsi":
-        signal = latch(F.col("rsi") < oversold, F.col("rsi") > overbought)
+        rsi = F.nanvl(F.col("rsi"), F.lit(None))
+        signal = latch(rsi < oversold, rsi > overbought)
     else:
         raise ValueError(f"unknown signal {kind!r}")
     return panel.withColumn("signal", signal).select(*bars.columns, "signal")
 
 
-def run_strategy(signals: DataFrame, capital: float = 10_000.0, commission: float = 0.001, slippage: float = 0.0005) -> DataFrame:
-    """``executed, gross, cost, net, equity`` of ``entity, date, close, signal``; filled at the close."""
+def buy_and_hold_signal(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("signal", F.lit(1.0))
+
+
+def run_strategy(signals: DataFrame, capital: float = 10_000.0, commission: float = 0.001, slippage: float = 0.0005, fill: str = "close", commission_model: str = "pct") -> DataFrame:
+    """``executed, gross, cost, net, equity`` of ``entity, date, close, signal``.
+
+    ``fill``: ``close``, or the two legs of ``next_open`` (``open``) and ``hl2``
+    (the middle of ``high`` and ``low``): yesterday's position to that price,
+    today's from it; a bar without it, or without a close before, counts 0.
+    ``commission_model``: ``pct`` of the traded share of capital, or
+    ``per_share``, an amount for each share at the fill price.
+    """
     out = signals.withColumn("executed", F.coalesce(F.lag("signal").over(by()), F.lit(0.0)))
-    out = out.withColumns({"gross": F.coalesce(F.col("executed") * (F.col("close") / F.lag("close").over(by()) - 1), F.lit(0.0)), "cost": F.abs(F.col("executed") - F.coalesce(F.lag("executed").over(by()), F.lit(0.0))) * (commission + slippage)})
+    held, last = F.coalesce(F.lag("executed").over(by()), F.lit(0.0)), F.lag("close").over(by())
+    if fill == "close":
+        price, gross = F.col("close"), F.col("executed") * (F.col("close") / last - 1)
+    elif fill in ("next_open", "hl2"):
+        price = F.col("open") if fill == "next_open" else (F.col("high") + F.col("low")) / 2
+        gross = (1 + held * (price / last - 1)) * (1 + F.col("executed") * (F.col("close") / price - 1)) - 1
+    else:
+        raise ValueError(f"unknown fill {fill!r}")
+    if commission_model not in ("pct", "per_share"):
+        raise ValueError(f"unknown commission model {commission_model!r}")
+    rate = F.lit(commission) if commission_model == "pct" else commission / price
+    out = out.withColumns({"gross": F.coalesce(gross, F.lit(0.0)), "cost": F.abs(F.col("executed") - held) * (rate + slippage)})
     out = out.withColumn("net", F.col("gross") - F.col("cost"))
     return out.withColumn("equity", capital * F.product(F.greatest(1 + F.col("net"), F.lit(0.0))).over(running()))
 
@@ -140,3 +166,58 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
     turn = weights.withColumn("__before", F.coalesce(F.lag("weight").over(by()), F.lit(0.0))).groupBy("date").agg(F.sum(F.abs(F.col("weight") - F.col("__before"))).alias("turnover"), F.sum(F.abs("weight")).alias("gross"))
     pnl = earned.groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
     return turn.join(pnl, "date", "left").select("date", F.coalesce("ret", F.lit(0.0)).alias("ret"), "turnover", "gross")
+
+
+def prediction_weights(scores: DataFrame, method: str, c: str = "score", quantile: float = 0.2) -> DataFrame:
+    """``weight`` of each date's predictions, gross 1: ``sign``, ``zscore`` or ``quantile`` (best and worst share, half each); null scores get 0."""
+    x, w = F.col(c), W.partitionBy("date")
+    if method == "sign":
+        raw = F.signum(x)
+    elif method == "zscore":
+        raw = (x - F.avg(x).over(w)) / F.nullif(F.stddev_samp(x).over(w), F.lit(0.0))
+    elif method == "quantile":
+        share = F.percent_rank().over(w.orderBy(x.asc_nulls_last(), "entity"))
+        raw = F.when(x.isNull(), None).when(share >= 1 - quantile, 1.0).when(share <= quantile, -1.0).otherwise(0.0)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    out = scores.withColumn("__w", F.coalesce(raw, F.lit(0.0)))
+    return out.withColumn("weight", F.coalesce(F.col("__w") / F.nullif(F.sum(F.abs("__w")).over(w), F.lit(0.0)), F.lit(0.0))).drop("__w")
+
+
+def simulate_portfolio(weights: DataFrame, returns: DataFrame, rebalance: str = "month", cost: float = 0.0015, capital: float = 1.0) -> DataFrame:
+    """``date, gross, cost, net, turnover, equity`` of target weights that are taken on at rebalances and held between.
+
+    The targets of the first date of each ``rebalance`` period (``day``,
+    ``week``, ``month``) are in force from the entity's next return on; a target
+    is the whole weight until the next one, and trades the difference.  Missing
+    returns earn nothing.  Equity runs along dates: one row for each.
+    """
+    firsts = weights.groupBy(F.date_trunc(rebalance, "date")).agg(F.min("date").alias("date")).select("date")
+    targets = weights.join(firsts, "date", "left_semi").select("entity", "date", F.col("weight").alias("target"))
+    both = returns.select("entity", "date", "ret").join(targets, ["entity", "date"], "full")
+    # A rebalance that leaves an entity out is its exit.
+    w = by().rowsBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("held", F.coalesce(F.last("target", ignorenulls=True).over(w), F.lit(0.0)))
+    both = both.withColumn("trade", F.abs(F.col("target") - F.col("held")))
+    daily = both.groupBy("date").agg(F.sum(F.col("held") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.coalesce(F.sum("trade"), F.lit(0.0)).alias("turnover"))
+    daily = daily.withColumn("cost", F.col("turnover") * cost).withColumn("net", F.col("gross") - F.col("cost"))
+    order = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    return daily.withColumn("equity", capital * F.product(F.greatest(1 + F.col("net"), F.lit(0.0))).over(order))
+
+
+def rehedge_dates(df: DataFrame, rule: str, c: str = "ratio", band: float = 0.1) -> DataFrame:
+    """``df`` with ``rehedge``: first bar of each ``day``, ``week`` or ``month``, or (``drift``) a move of ``c`` beyond ``band`` of its value at the last hedge."""
+    if rule == "drift":
+
+        def run(p: pd.DataFrame) -> dict[str, np.ndarray]:
+            out, last = np.zeros(len(p)), np.nan
+            for i, x in enumerate(p[c].to_numpy(float)):
+                if not np.isnan(x) and (np.isnan(last) or abs(x - last) > band * abs(last)):
+                    out[i], last = 1.0, x
+            return {"rehedge": out}
+
+        return ind.per_entity(df, run, ["rehedge"], keep=df.columns)
+    if rule not in ("day", "week", "month"):
+        raise ValueError(f"unknown rule {rule!r}")
+    period = F.date_trunc(rule, "date")
+    return df.withColumn("rehedge", F.when(F.lag(period).over(by()) == period, 0.0).otherwise(1.0))

@@ -197,6 +197,17 @@ def psar_values(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: flo
     return sar, trend
 
 
+def gapless(values: Callable[..., tuple[np.ndarray, ...]], *series: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``values`` of the bars on which no series is missing, put back in their places; the other bars are skipped and get none."""
+    known = ~np.isnan(np.vstack(series)).any(axis=0)
+    out = []
+    for made in values(*(x[known] for x in series)):
+        whole = np.full(len(known), np.nan)
+        whole[known] = made
+        out.append(whole)
+    return tuple(out)
+
+
 def per_entity(df: DataFrame, run: Callable[[pd.DataFrame], dict[str, np.ndarray]], names: list[str], keep: list[str] | None = None, entity: str = "entity", order: str = "date") -> DataFrame:
     """Columns ``names`` that ``run`` makes from each entity's rows in order, beside ``keep``."""
     keep = keep or [entity, order]
@@ -224,9 +235,9 @@ def recursive_panel(bars: DataFrame, rsi: int = 14, adx: int = 14, fast: int = 1
         high, low, close = (p[c].to_numpy(float) for c in ("high", "low", "close"))
         macd = ema_values(close, fast) - ema_values(close, slow)
         line = ema_values(macd, signal)
-        strength, plus, minus = adx_values(high, low, close, adx)
+        strength, plus, minus = gapless(lambda h, lo, c: adx_values(h, lo, c, adx), high, low, close)
         tr = np.r_[np.nan, np.maximum.reduce([high[1:] - low[1:], np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])])] if len(p) else close
-        sar, trend = psar_values(high, low)
+        sar, trend = gapless(psar_values, high, low)
         return {"ema": ema_values(close, span), "macd": macd, "macd_signal": line, "macd_hist": macd - line, "rsi": rsi_values(close, rsi), "adx": strength, "plus_di": plus, "minus_di": minus, "wilder_atr": wilder_mean(tr, wilder), "psar": sar, "psar_trend": trend}
 
     names = ["ema", "macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "wilder_atr", "psar", "psar_trend"]

@@ -2,8 +2,7 @@
 
 The as-of joins tag and union both sides and carry the last (or next) record
 along one window, so they cost one shuffle on the key and one sort, and never
-pair rows.  Spark spills the window's sort; a hot key can be cut by period with
-``period``, whose boundary state is carried in by a second, small window.
+pair rows.  Spark spills the window's sort; a hot key is one task's sort.
 """
 
 from __future__ import annotations
@@ -55,11 +54,20 @@ def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, begin:
     return points.withColumn("__bucket", number(at)).join(dealt, [key, "__bucket"]).where(F.col(at).between(F.col(begin), F.col(end))).drop("__bucket")
 
 
-def common_dates(streams: DataFrame, stream: str = "entity", date: str = "date") -> DataFrame:
-    """Rows on the dates that every stream has."""
-    n = streams.agg(F.countDistinct(stream).alias("__n"))
-    dates = streams.groupBy(date).agg(F.countDistinct(stream).alias("__c")).crossJoin(F.broadcast(n)).where("__c = __n").select(date)
-    return streams.join(dates, date, "left_semi")
+def common_dates(streams: DataFrame, stream: str = "entity", date: str = "date", group: str | None = None) -> DataFrame:
+    """Rows on the dates that every stream (of the row's ``group``) has."""
+    keys = [group] if group else []
+    n = streams.groupBy(*keys).agg(F.countDistinct(stream).alias("__n"))
+    dates = streams.groupBy(*keys, date).agg(F.countDistinct(stream).alias("__c"))
+    dates = dates.join(n, group) if group else dates.crossJoin(F.broadcast(n))
+    return streams.join(dates.where("__c = __n").select(*keys, date), [*keys, date], "left_semi")
+
+
+def date_union(streams: DataFrame, stream: str = "entity", date: str = "date", c: str = "ret") -> DataFrame:
+    """``date, streams, present, missing``: every date of any stream, and how many streams have a value on it."""
+    n = streams.agg(F.countDistinct(stream).alias("streams"))
+    out = streams.groupBy(date).agg(F.countDistinct(F.when(F.col(c).isNotNull(), F.col(stream))).alias("present")).crossJoin(F.broadcast(n))
+    return out.select(date, "streams", "present", (F.col("streams") - F.col("present")).alias("missing"))
 
 
 def onto_calendar(df: DataFrame, calendar: DataFrame, c: str, policy: str = "hold", entity: str = "entity") -> DataFrame:

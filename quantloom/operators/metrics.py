@@ -7,6 +7,7 @@ path-dependent ones, which are running windows.  Missing returns are left out.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,3 +125,41 @@ def kupiec(exceptions: DataFrame, level: float = 0.95) -> DataFrame:
     p01, p11, pi = ratio(n01, n00), ratio(n11, n10), ratio(n01 + n11, n00 + n10)
     ind = -2 * (log(n00 + n10, 1 - pi) + log(n01 + n11, pi) - log(n00, 1 - p01) - log(n01, p01) - log(n10, 1 - p11) - log(n11, p11))
     return a.select("entity", "n", "x", pof.alias("lr_pof"), ind.alias("lr_independence"))
+
+
+def var_forecast(returns: DataFrame, method: str = "historical", window: int = 100, level: float = 0.95, decay: float = 0.94) -> DataFrame:
+    """``var`` of each date from the ``window`` returns before it.
+
+    ``historical`` quantile; ``normal``; ``cornish_fisher`` (the normal quantile
+    moved by the window's skewness and excess kurtosis); ``ewma`` (zero mean,
+    variances of all returns before, seeded with the first window's mean square).
+    """
+    z = NormalDist().inv_cdf(1 - level)
+    known, w = returns.where("ret is not null"), by().rowsBetween(-window, -1)
+    mean, n = F.avg("ret").over(w), F.count("ret").over(w)
+    if method == "historical":
+        loss = -F.percentile("ret", F.lit(1 - level)).over(w)
+    elif method == "normal":
+        loss = -(mean + z * F.stddev_samp("ret").over(w))
+    elif method == "cornish_fisher":
+        s, k = F.skewness("ret").over(w), F.kurtosis("ret").over(w)
+        moved = z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
+        loss = -(mean + F.stddev_samp("ret").over(w) * moved)
+    elif method == "ewma":
+        past = F.collect_list(F.col("ret") * F.col("ret")).over(by().rowsBetween(W.unboundedPreceding, -1))
+        seed = f"aggregate(slice(__p, 1, {window}), 0D, (a, x) -> a + x) / {window}"
+        folded = F.expr(f"aggregate(slice(__p, {window + 1}, size(__p)), {seed}, (a, x) -> {decay!r} * a + {1 - decay!r} * x)")
+        known = known.withColumn("__p", past)
+        loss = -z * F.sqrt(folded)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return known.withColumn("var", F.when(n == window, loss)).where("var is not null").select(*returns.columns, "var")
+
+
+def material_drawdowns(curve: DataFrame, threshold: float = 0.05, top: int = 5) -> DataFrame:
+    """The ``top`` deepest episodes of ``threshold`` or more of each entity, whether each is open, and the share of all bars under water."""
+    d = drawdowns(curve).groupBy("entity").agg(F.avg((F.col("drawdown") < 0).cast("double")).alias("underwater"))
+    deep = drawdown_episodes(curve).where(F.col("depth") <= -threshold)
+    order = W.partitionBy("entity").orderBy("depth", "start")
+    deep = deep.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).withColumn("open", F.col("end").isNull())
+    return deep.join(d, "entity")

@@ -127,15 +127,25 @@ def book_metrics(book: DataFrame) -> DataFrame:
 def queue_positions(events: DataFrame) -> DataFrame:
     """Size ahead of each added order at its price, from ``symbol, seq, order_id, action, side, price, size``.
 
-    Adds, cancels and fills move the resting size of their side and price; the
-    position of an add is the running size before it.  Orders that were never
-    seen to rest remove nothing.
+    Adds (A), modifies (M: the order's new size), cancels (C) and fills (F) move
+    the resting size of their side and price; the position of an add is the
+    running size before it.  No event takes more than its order has resting, so
+    orders that were never seen to rest remove nothing; a clear (R) empties the
+    symbol's book.
     """
-    w = W.partitionBy("symbol", "order_id").orderBy("seq")
-    seen = F.max(F.when(F.col("action") == "A", 1)).over(w.rowsBetween(W.unboundedPreceding, -1)).isNotNull()
-    delta = F.when(F.col("action") == "A", F.col("size")).when(F.col("action").isin("C", "F") & seen, -F.col("size")).otherwise(0.0)
-    level = W.partitionBy("symbol", "side", "price").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("__d", delta).withColumn("position", F.when(F.col("action") == "A", F.coalesce(F.sum("__d").over(level), F.lit(0.0)))).where("action = 'A'").drop("__d")
+    cleared = W.partitionBy("symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    out = events.withColumn("__book", F.sum(F.when(F.col("action") == "R", 1).otherwise(0)).over(cleared))
+    w = W.partitionBy("symbol", "__book", "order_id").orderBy("seq")
+    # A modify states the size: what came before it for the order no longer counts.
+    out = out.withColumn("__from", F.sum(F.when(F.col("action") == "M", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    part = W.partitionBy("symbol", "__book", "order_id", "__from").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    signed = F.when(F.col("action").isin("A", "M"), F.col("size")).when(F.col("action").isin("C", "F"), -F.col("size")).otherwise(0.0)
+    out = out.withColumn("__s", F.sum(signed).over(part))
+    # Resting size: the running sum over its least value so far below zero.
+    out = out.withColumn("__rest", F.col("__s") - F.least(F.min("__s").over(part), F.lit(0.0)))
+    out = out.withColumn("__d", F.col("__rest") - F.coalesce(F.lag("__rest").over(w), F.lit(0.0)))
+    level = W.partitionBy("symbol", "__book", "side", "price").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    return out.withColumn("position", F.coalesce(F.sum("__d").over(level), F.lit(0.0))).where("action = 'A'").drop("__d", "__s", "__rest", "__book", "__from")
 
 
 def order_lifetimes(events: DataFrame) -> DataFrame:
@@ -162,3 +172,13 @@ def cusum(df: DataFrame, c: str, reference: int, slack: float = 0.5, threshold:
         return {"cusum_up": up, "cusum_down": down, "alarm": flag}
 
     return per_entity(df.select("entity", "date", c), run, ["cusum_up", "cusum_down", "alarm"])
+
+
+def liquidity_channels(ticks: DataFrame, width: str) -> DataFrame:
+    """``symbol, start`` and what a bucket of ``width`` says of liquidity: trades, volume, traded value, signed flow by the tick rule, range and path of the price."""
+    order = W.partitionBy("symbol").orderBy("ts", "seq")
+    d = ticks.withColumn("__d", F.col("price") - F.lag("price").over(order))
+    d = d.withColumn("__s", F.coalesce(F.last(F.when(F.col("__d") != 0, F.signum("__d")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
+    return d.groupBy("symbol", F.window("ts", width).alias("__w")).agg(
+        F.count("*").alias("intensity"), F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("dollar_volume"), F.sum(F.col("__s") * F.col("size")).alias("signed_flow"), (F.max("price") - F.min("price")).alias("range"), F.sum(F.abs("__d")).alias("path")
+    ).select("symbol", F.col("__w.start").alias("start"), "intensity", "volume", "dollar_volume", "signed_flow", "range", "path")

@@ -59,3 +59,48 @@ def ohlc_faults(bars: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 def content_hash(df: DataFrame) -> DataFrame:
     """One row: rows and an order-free hash of the table."""
     return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hash"))
+
+
+def usable_bars(bars: DataFrame, columns: tuple[str, ...] = ("open", "close")) -> DataFrame:
+    """Bars with all ``columns``; ``dropped_missing`` and ``dropped_placeholder`` say how many of the entity's went.
+
+    A bar without them is a placeholder after the entity's last usable bar and
+    missing before; entities without a usable bar give no rows.
+    """
+    usable = F.lit(True)
+    for c in columns:
+        usable = usable & F.nanvl(F.col(c), F.lit(None)).isNotNull()
+    w = W.partitionBy("entity")
+    out = bars.withColumn("__ok", usable).withColumn("__last", F.max(F.when(usable, F.col("date"))).over(w))
+    gone = lambda after: F.sum(F.when(~F.col("__ok") & ((F.col("date") > F.col("__last")) == after), 1).otherwise(0)).over(w)
+    return out.withColumns({"dropped_missing": gone(False), "dropped_placeholder": gone(True)}).where("__ok").drop("__ok", "__last")
+
+
+def membership_faults(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
+    """``column, value, n``: values of the columns of ``allowed`` that are not in its lists, nulls among them; an empty frame where all are."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.coalesce(F.col(c).isin(v), F.lit(False)).alias("ok")) for c, v in allowed.items()))).alias("x")
+    return df.select(pairs).where("not x.ok").groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
+
+
+def lost_rows(df: DataFrame, features: list[str], target: str, by: str = "entity") -> DataFrame:
+    """Rows that a drop of missing values costs, by cause: ``rows, no_features, no_target, both, kept``, and each feature's share of the misses."""
+    missing = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None)).isNull()
+    some, none = F.lit(False), missing(target)
+    for c in features:
+        some = some | missing(c)
+    return df.groupBy(by).agg(
+        F.count("*").alias("rows"), F.count_if(some & ~none).alias("no_features"), F.count_if(none & ~some).alias("no_target"), F.count_if(some & none).alias("both"), F.count_if(~some & ~none).alias("kept"),
+        *(F.count_if(missing(c)).alias(f"missing_{c}") for c in features),
+    )
+
+
+def versions(records: DataFrame, key: list[str], version: str) -> DataFrame:
+    """``versions`` and ``restated`` of each key: distinct versions of what is known of it."""
+    out = records.groupBy(*key).agg(F.countDistinct(version).alias("versions"))
+    return out.withColumn("restated", F.col("versions") > 1)
+
+
+def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``n`` and ``share`` of each combination of ``columns``, nulls among them."""
+    counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__t")))).withColumn("share", F.col("n") / F.col("__t")).drop("__t")

@@ -262,3 +262,71 @@ def forward_paths(returns: DataFrame, horizon: int, draws: int = 200, block: int
 
     paths = returns.sparkSession.range(draws).mapInPandas(run, "step int, equity double")
     return paths.groupBy("step").agg(*(F.percentile("equity", F.lit(q)).alias(n) for q, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))))
+
+
+def factor_regression(panel: DataFrame, y: str, factors: list[str], by: str = "entity") -> DataFrame:
+    """Least squares of ``y`` on a constant and ``factors``: ``n, r2, alpha, beta_<factor>`` and ``t_`` of each.
+
+    Only moment sums are shuffled, a row for each entity; the normal equations
+    are solved from them.  Rows with a missing value are left out; an entity
+    with too few rows or dependent factors gets null coefficients.
+    """
+    names = ["alpha", *(f"beta_{f}" for f in factors)]
+    known = panel.select(by, *(F.col(c).cast("double") for c in (y, *factors))).dropna()
+    # Values less their entity's first make the sums well conditioned.
+    xs = [F.lit(1.0), *(F.col(f) for f in factors)]
+    sums = [F.sum(a * b).alias(f"x{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]
+    sums += [F.sum(a * F.col(y)).alias(f"y{i}") for i, a in enumerate(xs)] + [F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n")]
+    k = len(xs)
+    schema = f"{by} {panel.schema[by].dataType.simpleString()}, n long, r2 double, " + ", ".join(f"{c} double" for c in [*names, *(f"t_{c}" for c in names)])
+
+    def solve(batches):
+        for p in batches:
+            rows = []
+            for r in p.to_dict("records"):
+                x = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                v, n = np.array([r[f"y{i}"] for i in range(k)]), r["n"]
+                out = [np.nan] * (2 * k + 1)
+                if n > k and np.linalg.matrix_rank(x / np.sqrt(np.outer(np.diag(x), np.diag(x)).clip(1e-300)), tol=1e-10) == k:
+                    inverse = np.linalg.inv(x)
+                    b = inverse @ v
+                    residual, total = max(r["yy"] - b @ v, 0.0), r["yy"] - v[0] ** 2 / n
+                    error = np.sqrt(residual / (n - k) * np.diag(inverse))
+                    out = [1 - residual / total if total > 0 else np.nan, *b, *(b / error if residual > 1e-12 * r["yy"] else [np.nan] * k)]
+                rows.append((r[by], n, *out))
+            yield pd.DataFrame(rows, columns=[by, "n", "r2", *names, *(f"t_{c}" for c in names)])
+
+    return known.groupBy(by).agg(*sums).mapInPandas(solve, schema)
+
+
+def cointegration_scan(bars: DataFrame, c: str = "close", least: int = 30, names: int = 2_000) -> DataFrame:
+    """Engle-Granger of each pair i < j on common dates: ``n, hedge, alpha, adf, half_life``, residuals of log ``c``.
+
+    ``adf``: t-statistic of the residual's change on its level before, with a
+    constant.  A universe of at most ``names`` names; pairs meet by date.
+    """
+    if bars.select("entity").distinct().limit(names + 1).count() > names:
+        raise ValueError(f"more than {names} names")
+    x = bars.where(F.col(c) > 0).select("entity", "date", F.log(c).alias("x"))
+    pairs = x.select(F.col("entity").alias("i"), "date", F.col("x").alias("a")).join(x.select(F.col("entity").alias("j"), "date", F.col("x").alias("b")), "date").where("i < j")
+    fit = pairs.groupBy("i", "j").agg(F.count("*").alias("n"), F.regr_slope("a", "b").alias("hedge"), F.regr_intercept("a", "b").alias("alpha")).where((F.col("n") >= least) & F.col("hedge").isNotNull())
+    w = W.partitionBy("i", "j").orderBy("date")
+    e = pairs.join(fit, ["i", "j"]).withColumn("e", F.col("a") - F.col("alpha") - F.col("hedge") * F.col("b"))
+    e = e.withColumn("l", F.lag("e").over(w)).withColumn("d", F.col("e") - F.col("l")).where("l is not null")
+    s = e.groupBy("i", "j").agg(F.first("n").alias("n"), F.first("hedge").alias("hedge"), F.first("alpha").alias("alpha"), F.count("*").alias("m"), F.regr_slope("d", "l").alias("rho"), F.regr_sxx("d", "l").alias("sxx"), F.regr_syy("d", "l").alias("syy"))
+    error = F.sqrt((F.col("syy") - F.col("rho") * F.col("rho") * F.col("sxx")) / (F.col("m") - 2) / F.col("sxx"))
+    return s.select("i", "j", "n", "hedge", "alpha", (F.col("rho") / F.nullif(error, F.lit(0.0))).alias("adf"), F.when((F.col("rho") < 0) & (F.col("rho") > -1), F.log(F.lit(0.5)) / F.log(1 + F.col("rho"))).alias("half_life"))
+
+
+def fold_average(folds: DataFrame, metric: str, weight: str, by: list[str]) -> DataFrame:
+    """``mean, weighted, worst, folds`` of a metric over folds, weighted by their rows; folds without the metric count in neither."""
+    known = folds.where(F.col(metric).isNotNull())
+    return known.groupBy(*by).agg(F.avg(metric).alias("mean"), (F.sum(F.col(metric) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0))).alias("weighted"), F.min(metric).alias("worst"), F.count("*").alias("folds"))
+
+
+def partial_correlation(panel: DataFrame, a: str, b: str, given: str, by: str = "entity") -> DataFrame:
+    """``n, corr, partial``: correlation of ``a`` and ``b``, and with ``given`` held fixed."""
+    known = panel.select(by, a, b, given).dropna()
+    r = lambda x, y: F.covar_samp(x, y) / F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
+    s = known.groupBy(by).agg(F.count("*").alias("n"), r(a, b).alias("corr"), r(a, given).alias("u"), r(b, given).alias("v"))
+    return s.select(by, "n", "corr", ((F.col("corr") - F.col("u") * F.col("v")) / F.nullif(F.sqrt((1 - F.col("u") * F.col("u")) * (1 - F.col("v") * F.col("v"))), F.lit(0.0))).alias("partial"))

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import the modules that register queries."""
-    from quantloom.plans import analysis, delta, indicators, markets, metrics, models, panels, risk  # noqa: F401
+    from quantloom.plans import analysis, delta, desk, indicators, markets, metrics, models, panels, risk  # noqa: F401

@@ -58,12 +58,12 @@ def seasonality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, k AS (SELECT entity, date, ret AS x FROM returns WHERE ret IS NOT NULL AND entity < 5), a AS (SELECT entity AS j, date, 0 AS lag, x AS y FROM k UNION ALL SELECT entity, date, 1, lead(x, 1) OVER (PARTITION BY entity ORDER BY date) FROM k UNION ALL SELECT entity, date, 2, lead(x, 2) OVER (PARTITION BY entity ORDER BY date) FROM k)
+    """, k AS (SELECT entity, date, ret AS x FROM returns WHERE ret IS NOT NULL), a AS (SELECT entity AS j, date, 0 AS lag, x AS y FROM k UNION ALL SELECT entity, date, 1, lead(x, 1) OVER (PARTITION BY entity ORDER BY date) FROM k UNION ALL SELECT entity, date, 2, lead(x, 2) OVER (PARTITION BY entity ORDER BY date) FROM k)
     SELECT k.entity AS i, j, lag, count(*) AS n, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS corr FROM k JOIN a USING (date) WHERE k.entity <> j AND y IS NOT NULL GROUP BY ALL""",
     _RET,
 )
 def lead_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.lead_lag(returns(spark, sf_dir).where("entity < 5"), "ret", 2))
+    return rounded(st.lead_lag(returns(spark, sf_dir), "ret", 2))
 
 
 @query(

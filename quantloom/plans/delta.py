@@ -18,13 +18,13 @@ _RET = ("bars", "returns")
 
 
 @query(
-    """, c AS (SELECT entity % 5 AS root, date, date + to_days(((entity // 5) * 30)::INTEGER) AS expiry, close AS price FROM bars WHERE entity < 25), k AS (SELECT *, row_number() OVER w AS rank, ln(lead(price) OVER w / price) / nullif(date_diff('day', expiry::DATE, (lead(expiry) OVER w)::DATE) / 365.0, 0) AS carry FROM c WINDOW w AS (PARTITION BY root, date ORDER BY expiry))
+    """, c AS (SELECT entity % 5 AS root, date, date + to_days(((entity // 5) * 30)::INTEGER) AS expiry, close AS price FROM bars), k AS (SELECT *, row_number() OVER w AS rank, ln(lead(price) OVER w / price) / nullif(date_diff('day', expiry::DATE, (lead(expiry) OVER w)::DATE) / 365.0, 0) AS carry FROM c WINDOW w AS (PARTITION BY root, date ORDER BY expiry))
     SELECT root, date, expiry, rank::INTEGER AS rank, round(carry, 6) AS carry FROM k""",
     ("bars",),
 )
 def futures_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities stand for contracts of five roots, a month apart."""
-    b = bars(spark, sf_dir).where("entity < 25")
+    b = bars(spark, sf_dir)
     c = b.select((F.col("entity") % 5).alias("root"), "date", F.expr("date + make_dt_interval(cast(entity div 5 * 30 AS int))").alias("expiry"), F.col("close").alias("price"))
     return rounded(d1.futures_curve(c).select("root", "date", "expiry", "rank", "carry"))
 

@@ -116,7 +116,14 @@ def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.recursive_panel(bars(spark, sf_dir)).drop("psar", "psar_trend"), 4)
 
 
-@query()
+# State of the stop: trend, stop, extreme, speed, and the two bars before.
+_SAR = """list_reduce(list({'up': true, 'stop': low, 'ext': high, 'speed': 0.02, 'h': high, 'l': low, 'h2': high, 'l2': low}) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING), lambda a, v:
+      list_transform(list_transform([CASE WHEN a.up THEN least(a.stop + a.speed * (a.ext - a.stop), a.l, a.l2) ELSE greatest(a.stop + a.speed * (a.ext - a.stop), a.h, a.h2) END], lambda s: {'s': s, 'turn': CASE WHEN a.up THEN v.l < s ELSE v.h > s END, 'far': CASE WHEN a.up THEN v.h > a.ext ELSE v.l < a.ext END}),
+      lambda p: {'up': a.up <> p.turn, 'stop': CASE WHEN p.turn THEN a.ext ELSE p.s END, 'ext': CASE WHEN p.turn THEN CASE WHEN a.up THEN v.l ELSE v.h END WHEN p.far THEN CASE WHEN a.up THEN v.h ELSE v.l END ELSE a.ext END,
+        'speed': CASE WHEN p.turn THEN 0.02 WHEN p.far THEN least(a.speed + 0.02, 0.2) ELSE a.speed END, 'h': v.h, 'l': v.l, 'h2': a.h, 'l2': a.l})[1])"""
+
+
+@query(f", s AS (SELECT entity, date, {_SAR} AS s FROM bars) SELECT entity, date, round(s.stop, 6) AS psar, CASE WHEN s.up THEN 1.0 ELSE -1.0 END AS psar_trend FROM s", ("bars",))
 def parabolic_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.recursive_panel(bars(spark, sf_dir)).select("entity", "date", "psar", "psar_trend"))
 

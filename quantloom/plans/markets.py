@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import rounded
@@ -97,15 +98,30 @@ def book_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ms.book_metrics(_quotes(spark, sf_dir)).select("seq", "microprice", "ofi"))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT l_suppkey AS symbol, l_orderkey AS order_id, CASE WHEN l_linenumber % 3 = 0 THEN 'C' WHEN l_linenumber % 5 = 0 THEN 'M' ELSE 'A' END AS action, CASE WHEN l_linenumber % 2 = 0 THEN 'B' ELSE 'A' END AS side, l_discount AS price, l_quantity AS size,
+      row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS seq FROM lineitem),
+    m AS (SELECT *, sum((action = 'M')::INTEGER) OVER (PARTITION BY symbol, order_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS part FROM o), s AS (SELECT *, sum(CASE WHEN action = 'C' THEN -size ELSE size END) OVER (PARTITION BY symbol, order_id, part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM m),
+    r AS (SELECT *, s - least(min(s) OVER (PARTITION BY symbol, order_id, part ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS rest FROM s), d AS (SELECT *, rest - coalesce(lag(rest) OVER (PARTITION BY symbol, order_id ORDER BY seq), 0) AS d FROM r),
+    p AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY symbol, side, price ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM d)
+    SELECT symbol, order_id, seq::INTEGER AS seq, round(position, 6) AS position FROM p WHERE action = 'A'"""
+)
 def order_book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue positions of orders made from line items: adds, with every third cancelled."""
-    o = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"), F.when(F.col("l_linenumber") % 3 == 0, "C").otherwise("A").alias("action"), F.when(F.col("l_linenumber") % 2 == 0, "B").otherwise("A").alias("side"), F.round("l_discount", 2).alias("price"), F.col("l_quantity").alias("size"))
-    o = o.withColumn("seq", F.xxhash64(*o.columns))
+    """Queue positions of orders made from line items: adds, cancels and modifies."""
+    t = table(spark, sf_dir, "lineitem")
+    action = F.when(F.col("l_linenumber") % 3 == 0, "C").when(F.col("l_linenumber") % 5 == 0, "M").otherwise("A")
+    seq = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"))
+    o = t.select(F.col("l_suppkey").alias("symbol"), F.col("l_orderkey").alias("order_id"), action.alias("action"), F.when(F.col("l_linenumber") % 2 == 0, "B").otherwise("A").alias("side"), F.col("l_discount").alias("price"), F.col("l_quantity").alias("size"), seq.alias("seq"))
     return rounded(ms.queue_positions(o).select("symbol", "order_id", "seq", "position"))
 
 
-@query()
+@query(
+    """, n AS (SELECT entity, date, volume, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM bars), b AS (SELECT entity, avg(volume) AS m, stddev_samp(volume) AS s FROM n WHERE i <= 60 GROUP BY entity),
+    z AS (SELECT entity, date, CASE WHEN i > 60 AND s > 0 THEN (volume - m) / s END AS z FROM n JOIN b USING (entity)), l AS (SELECT *, list_concat([0.0], list(z) FILTER (z IS NOT NULL) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)) AS zs FROM z),
+    c AS (SELECT *, list_reduce(zs, lambda a, v: greatest(0.0, a + v - 0.5)) AS u, list_reduce(zs, lambda a, v: greatest(0.0, a - v - 0.5)) AS d FROM l)
+    SELECT entity, date, CASE WHEN z IS NOT NULL THEN round(u, 6) END AS cusum_up, CASE WHEN z IS NOT NULL THEN round(d, 6) END AS cusum_down, CASE WHEN z IS NOT NULL THEN (greatest(u, d) > 9)::INTEGER::DOUBLE END AS alarm FROM c""",
+    ("bars",),
+)
 def cusum_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ms.cusum(bars(spark, sf_dir), "volume", 60))
 

@@ -48,7 +48,12 @@ def capacity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.capacity(bars(spark, sf_dir), [1e5, 1e6, 1e7]).select("entity", "adv", "size", "days", "impact_bps"), 4)
 
 
-@query()
+@query(
+    """, k AS (SELECT entity, date, ret FROM returns WHERE ret IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS i FROM k),
+    v AS (SELECT a.entity, a.date, sqrt(sum(power(0.5, (a.i - 1 - b.i) / 20.0) * b.ret * b.ret) / sum(power(0.5, (a.i - 1 - b.i) / 20.0)) * 252) AS vol FROM n a LEFT JOIN n b ON a.entity = b.entity AND b.i < a.i AND b.i >= a.i - 500 GROUP BY a.entity, a.date),
+    r AS (SELECT *, CASE WHEN vol > 0 THEN 1 / vol END AS r FROM v) SELECT entity, date, round(least(coalesce(r / sum(r) OVER (PARTITION BY date), 0.0), 1.0), 6) AS weight FROM r""",
+    ("bars", "returns"),
+)
 def inverse_volatility_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(al.inverse_volatility(returns(spark, sf_dir)).select("entity", "date", "weight"))
 

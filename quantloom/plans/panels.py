@@ -38,9 +38,20 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.asof_join(left, t.withColumnRenamed("price", "later"), "symbol", "at", "ts", ["later"], tie=["seq"], direction="forward").drop("at"))
 
 
-@query("SELECT date, count(*) AS n FROM bars WHERE date IN (SELECT date FROM bars WHERE entity <= 3 GROUP BY date HAVING count(DISTINCT entity) = (SELECT count(DISTINCT entity) FROM bars WHERE entity <= 3)) AND entity <= 3 GROUP BY date", ("bars",))
+@query(
+    """, g AS (SELECT entity, date, s_nationkey AS nation FROM bars JOIN supplier ON s_suppkey = entity), c AS (SELECT nation, count(DISTINCT entity) AS n FROM g GROUP BY nation), d AS (SELECT nation, date, count(DISTINCT entity) AS n FROM g GROUP BY nation, date)
+    SELECT nation, date, d.n FROM d JOIN c USING (nation) WHERE d.n = c.n""",
+    ("bars",),
+)
 def date_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.common_dates(bars(spark, sf_dir).where("entity <= 3")).groupBy("date").agg(F.count("*").alias("n"))
+    """The dates that all suppliers of a nation have."""
+    of = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("nation"))
+    return joins.common_dates(bars(spark, sf_dir).join(of, "entity"), group="nation").groupBy("nation", "date").agg(F.count("*").alias("n"))
+
+
+@query(", s AS (SELECT count(DISTINCT entity) AS streams FROM returns) SELECT date, any_value(streams) AS streams, count(ret) AS present, any_value(streams) - count(ret) AS missing FROM returns, s GROUP BY date", _RET)
+def date_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.date_union(returns(spark, sf_dir))
 
 
 @query(
@@ -129,7 +140,16 @@ def sma_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bt.trade_log(bt.run_strategy(bt.sma_signal(bars(spark, sf_dir)))), 4)
 
 
-@query()
+_LOTS = f"""{_SMA}{_BOOK}, l AS (SELECT *, sum(CASE WHEN sign(executed) <> coalesce(b, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS lot FROM (SELECT *, lag(sign(executed)) OVER (PARTITION BY entity ORDER BY date) AS b FROM z)),
+    t AS (SELECT entity, lot::BIGINT AS lot, min(date) AS entry, max(date) AS exit, product(greatest(1 + net, 0)) - 1 AS r FROM l WHERE executed <> 0 GROUP BY entity, lot)"""
+
+
+@query(
+    f"""{_LOTS}, k AS (SELECT *, sum(CASE WHEN r >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY entry ROWS UNBOUNDED PRECEDING) AS run FROM t), streaks AS (SELECT entity, max(c) AS losing_streak FROM (SELECT entity, count(*) AS c FROM k WHERE r < 0 GROUP BY entity, run) GROUP BY entity),
+    a AS (SELECT entity, count(*) AS n, count(*) FILTER (r > 0) AS w, avg(r) FILTER (r > 0) AS winner, avg(r) FILTER (r < 0) AS loser, count(*) FILTER (r < 0) AS l FROM t GROUP BY entity)
+    SELECT entity, n, round(w / n, 6) AS win_rate, round(winner, 6) AS winner, round(loser, 6) AS loser, round(coalesce(w / n * winner, 0) + coalesce(l / n * loser, 0), 6) AS expectancy, CASE WHEN w = 0 THEN NULL WHEN loser IS NULL THEN 'inf'::DOUBLE ELSE round(abs(winner / loser), 6) END AS payoff, coalesce(losing_streak, 0) AS losing_streak FROM a LEFT JOIN streaks USING (entity)""",
+    ("bars",),
+)
 def trade_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bt.trade_expectancy(bt.trade_log(bt.run_strategy(bt.sma_signal(bars(spark, sf_dir))))))
 
@@ -139,17 +159,28 @@ def exposure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bt.exposure(bt.run_strategy(bt.sma_signal(bars(spark, sf_dir)))))
 
 
-@query()
+@query(
+    f""", c AS (SELECT *, coalesce(close >= CASE WHEN count(high) OVER a = 20 THEN max(high) OVER a END, false)::INTEGER + 2 * coalesce(close <= CASE WHEN count(low) OVER b = 10 THEN min(low) OVER b END, false)::INTEGER AS code FROM bars
+      WINDOW a AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+    s AS (SELECT *, list_reduce(list_concat([0], list(code) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)), lambda s, c: CASE WHEN s = 1 THEN CASE WHEN c >= 2 THEN 0 ELSE 1 END ELSE c % 2 END)::DOUBLE AS signal FROM c){_BOOK} SELECT entity, date, signal, round(net, 6) AS net FROM z""",
+    ("bars",),
+)
 def donchian_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bt.run_strategy(bt.donchian_signal(bars(spark, sf_dir))).select("entity", "date", "signal", "net"))
 
 
-@query()
+@query(
+    f""", c AS (SELECT *, close - lag(close) OVER (PARTITION BY entity ORDER BY date) AS change FROM bars), l AS (SELECT *, list(greatest(change, 0)) FILTER (change IS NOT NULL) OVER w AS g, list(greatest(-change, 0)) FILTER (change IS NOT NULL) OVER w AS o FROM c WINDOW w AS (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT *, CASE WHEN len(g) >= 14 THEN list_reduce(list_concat([list_avg(g[1:14])], g[15:]), lambda a, v: (a * 13 + v) / 14) END AS up, CASE WHEN len(o) >= 14 THEN list_reduce(list_concat([list_avg(o[1:14])], o[15:]), lambda a, v: (a * 13 + v) / 14) END AS down FROM l),
+    r AS (SELECT *, CASE WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / down) END AS rsi FROM m),
+    s AS (SELECT *, coalesce(last_value(CASE WHEN rsi > 70 THEN 0.0 WHEN rsi < 30 THEN 1.0 END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING), 0.0)::DOUBLE AS signal FROM r){_BOOK} SELECT entity, date, signal, round(net, 6) AS net FROM z""",
+    ("bars",),
+)
 def rsi_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bt.run_strategy(bt.recursive_signal(bars(spark, sf_dir), "rsi")).select("entity", "date", "signal", "net"))
 
 
-@query()
+@query(f"{_LOTS} SELECT t.entity, t.lot, round(max(b.close) / first(b.close ORDER BY b.date) - 1, 6) AS mfe, round(min(b.close) / first(b.close ORDER BY b.date) - 1, 6) AS mae FROM t JOIN bars b ON b.entity = t.entity AND b.date BETWEEN t.entry AND t.exit GROUP BY t.entity, t.lot", ("bars",))
 def trade_excursions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     return rounded(bt.excursions(bt.trade_log(bt.run_strategy(bt.sma_signal(b))), b))

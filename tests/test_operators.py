@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import special
-from quantloom.operators import backtest, derivatives, features, indicators, joins, learning, microstructure, portfolio
+from quantloom.operators import backtest, derivatives, features, indicators, joins, learning, microstructure, portfolio, quality
 from quantloom.streaming import spread_monitor
 
 DAY = dt.datetime(2024, 1, 1)
@@ -146,3 +146,47 @@ def test_monitor_in_batches_equals_one_run(spark, tmp_path):
     q.stop()
     assert sorted((r.ts, r.up, r.alert) for r in spark.table("monitored").collect()) == once
     assert [a for _, _, a in once if a] == ["up"]
+
+
+def test_recursions_skip_missing_bars(spark):
+    rng = np.random.default_rng(4)
+    close = 100 + np.cumsum(rng.normal(size=61))
+    high, low = close + rng.random(61), close - rng.random(61)
+    holed = [x.copy() for x in (high, low, close)]
+    for x in holed:
+        x[30] = np.nan
+    whole = [np.delete(x, 30) for x in holed]
+    for values in (lambda h, lo, c: indicators.adx_values(h, lo, c, 14), lambda h, lo, c: indicators.psar_values(h, lo)):
+        for got, want in zip(indicators.gapless(values, *holed), values(*whole), strict=True):
+            assert np.isnan(got[30])
+            np.testing.assert_array_equal(np.delete(got, 30), want)
+
+
+def test_signals_hold_on_missing_bars(spark):
+    close = [100.0 + i for i in range(40)] + [None] + [140.0 + i for i in range(5)]
+    bars = _bars(spark, close).withColumns({"high": F.col("close") + 1, "low": F.col("close") - 1})
+    assert _column(backtest.recursive_signal(bars, "macd"), "signal")[39:42] == [1.0, 1.0, 1.0]
+    assert _column(backtest.recursive_signal(bars, "adx"), "signal")[39:42] == [1.0, 1.0, 1.0]
+
+
+def test_queue_positions_of_modified_and_cleared_orders(spark):
+    rows = [(1, "a", "A", 5.0), (2, "b", "A", 3.0), (3, "a", "M", 2.0), (4, "c", "A", 1.0), (5, "b", "C", 9.0), (6, "d", "A", 1.0), (7, "x", "R", 0.0), (8, "e", "A", 4.0), (9, "a", "F", 2.0), (10, "f", "A", 1.0)]
+    events = spark.createDataFrame([("s", i, o, a, "B", 10.0, z) for i, o, a, z in rows], "symbol string, seq int, order_id string, action string, side string, price double, size double")
+    got = {r.order_id: r.position for r in microstructure.queue_positions(events).collect()}
+    assert got == {"a": 0.0, "b": 5.0, "c": 5.0, "d": 3.0, "e": 0.0, "f": 4.0}
+
+
+def test_rehedge_by_drift(spark):
+    df = _bars(spark, [1.0, 1.05, 1.2, 1.15, 1.0]).withColumnRenamed("close", "ratio")
+    assert _column(backtest.rehedge_dates(df, "drift"), "rehedge") == [1.0, 0.0, 1.0, 0.0, 1.0]
+
+
+def test_placeholders_and_missing_bars(spark):
+    out = quality.usable_bars(_bars(spark, [1.0, None, 3.0, None, None]), ("close",)).collect()
+    assert [(r.close, r.dropped_missing, r.dropped_placeholder) for r in out] == [(1.0, 1, 2), (3.0, 1, 2)]
+
+
+def test_two_leg_fill(spark):
+    bars = spark.createDataFrame([(1, DAY + dt.timedelta(days=i), o, c, s) for i, (o, c, s) in enumerate([(10.0, 10.0, 1.0), (11.0, 12.0, 1.0), (12.0, 9.0, 0.0), (10.0, 11.0, 0.0)])], "entity int, date timestamp, open double, close double, signal double")
+    book = backtest.run_strategy(bars, fill="next_open", commission=0.0, slippage=0.0)
+    assert [round(x, 9) for x in _column(book, "gross")] == [0.0, round(12 / 11 - 1, 9), round(9 / 12 - 1, 9), round(10 / 9 - 1, 9)]
