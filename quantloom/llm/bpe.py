@@ -26,13 +26,14 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map
+from .common import Memo, arrow_map, worker_table
 
 # Characters for which NFC is the identity, lower-casing is one to
 # one and the classes of letters, digits and signs are as written here.
@@ -134,28 +135,40 @@ class Automaton:
         return self.ids[self.at[number] : self.at[number + 1]].tobytes() if self.final[state] else None
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary file; ``lexicon``: an automaton's bytes."""
+class Splitter:
+    """Words of texts, as the vocabulary's normaliser and split give them."""
 
-    def __init__(self, vocabulary: bytes, lexicon: bytes | None = None, memo_limit: int = 120_000):
+    def __init__(self, spec: dict):
         from tokenizers import Regex, Tokenizer
         from tokenizers.pre_tokenizers import Split
 
+        # The library's own normaliser and split, for characters beyond PLAIN; its model is not used and left empty.
+        library = Tokenizer.from_str(json.dumps({**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normal = library.normalizer.normalize_str
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
+
+    def words(self, section: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if PLAIN.fullmatch(section):
+            return PLAIN_WORD.findall(section.lower())
+        return [w for w, _ in self.cut(self.normal(section))]
+
+
+class Codec(Splitter):
+    """Encoder and decoder of one vocabulary file; ``lexicon``: an automaton's bytes."""
+
+    def __init__(self, vocabulary: bytes, lexicon: bytes | None = None, memo_limit: int = 120_000):
         spec = json.loads(vocabulary)
+        super().__init__(spec)
         model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
+        self.ids: dict[str, int] = {intern(t): i for t, i in model["vocab"].items()}
+        self.rank = {tuple(map(intern, m.split(" ") if isinstance(m, str) else m)): i for i, m in enumerate(model["merges"])}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.characters = byte_characters()
-        #: The library's own normaliser and split, for characters beyond PLAIN.
-        library = Tokenizer.from_str(vocabulary.decode())
-        self.normal = library.normalizer.normalize_str
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.automaton = None
         if lexicon is not None:
             with tempfile.TemporaryFile() as f:  # mapped, with no name left on the disk
@@ -164,12 +177,6 @@ class Codec:
                 self.automaton = Automaton(mmap.mmap(f.fileno(), len(lexicon), access=mmap.ACCESS_READ))
         self.encoded = Memo(self.encode_word, memo_limit)
 
-    def words(self, section: str) -> list[str]:
-        """The words of a text without special tokens."""
-        if PLAIN.fullmatch(section):
-            return PLAIN_WORD.findall(section.lower())
-        return [w for w, _ in self.cut(self.normal(section))]
-
     def merge(self, word: str) -> list[int]:
         """Ids of a word by its merges: the lowest rank first, at equal ranks the leftmost."""
         characters, rank = self.characters, self.rank
@@ -233,18 +240,6 @@ class Codec:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-_codecs: dict[tuple[int, int], Codec] = {}
-
-
-def codec_of(vocabulary: bytes, lexicon: bytes | None) -> Codec:
-    """One codec for each worker process, vocabulary and lexicon."""
-    key = (hash(vocabulary), hash(lexicon))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocabulary, lexicon)
-    return _codecs[key]
-
-
 def frequent_words(docs: DataFrame, vocabulary, share: float = 2e-6, size: int = 65_536) -> list[str]:
     """The ``size`` most frequent words of all texts.
 
@@ -254,7 +249,7 @@ def frequent_words(docs: DataFrame, vocabulary, share: float = 2e-6, size: int =
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(vocabulary.value, None)
+        splitter = worker_table(("splitter", hash(vocabulary.value)), lambda: Splitter(json.loads(vocabulary.value)))
         seen: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -265,8 +260,8 @@ def frequent_words(docs: DataFrame, vocabulary, share: float = 2e-6, size: int =
         for batch in batches:
             for text in (t.as_py() for t in batch.column(0)):
                 if text:
-                    seen.update(codec.words(text))
-            if len(seen) > 1_000_000:
+                    seen.update(splitter.words(text))
+            if len(seen) > 200_000:
                 yield out()
                 seen.clear()
         yield out()
@@ -289,7 +284,7 @@ def encode(docs: DataFrame, vocabulary_path: str, with_ids: bool = False, lexico
     lexicon = sc.broadcast(Automaton.build({w.encode("utf-8", "surrogatepass"): codec.merge(w) for w in words}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(vocabulary.value, lexicon.value)
+        codec = worker_table(("codec", hash(vocabulary.value), hash(lexicon.value)), lambda: Codec(vocabulary.value, lexicon.value))
         for batch in batches:
             n, a, b, all_ids, all_text = [], [], [], [], []
             for text in (t.as_py() for t in batch.column(1)):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 #: Settings of a session that ``arrow_map`` and ``materialize`` use.
-_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -90,7 +90,7 @@ atexit.register(release_scratch)
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow(f, schema)`` with bounded memory.
 
-    Batches that Spark sends are kept to 8 MB (one row at least): the session's
+    Batches that Spark sends are kept to 2 MB (one row at least): the session's
     limit is lowered to that if it is higher.  When a task ends, what its worker
     remembers of texts is forgotten, since the process serves later tasks.
     """
@@ -130,6 +130,20 @@ def forget() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_table: list = [None, None]
+
+
+def worker_table(key, make: Callable):
+    """What ``make`` gives, kept by the worker process for later tasks until another key is asked for.
+
+    So of the large tables of all operators a worker holds one at a time.
+    """
+    if _table[0] != key:
+        _table[:] = None, None
+        _table[:] = key, make()
+    return _table[1]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

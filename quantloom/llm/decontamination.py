@@ -20,14 +20,13 @@ are not read; an empty benchmark gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shingle_hashes, word_hashes, words_of
+from .common import arrow_map, shingle_hashes, word_hashes, words_of, worker_table
 from .near_duplicates import _slices
 
 GRAM = 4
@@ -67,9 +66,8 @@ class Index:
         return np.concatenate(at), np.concatenate(found), np.concatenate(sizes)
 
 
-@lru_cache(maxsize=1)
 def _index(items: tuple[tuple[int, str], ...]) -> Index:
-    return Index(list(items))
+    return worker_table(("index", items), lambda: Index(list(items)))
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, worker_table
 
 SPACE = "▁"
 LONG = 64  # characters; states of longer chunks are not remembered
@@ -256,15 +256,9 @@ class _Counts(dict):
         return n
 
 
-_counters: dict[int, PrefixCounter] = {}
-
-
 def counter_of(model: bytes) -> PrefixCounter:
     """One counter for each worker process and model."""
-    key = hash(model)
-    if key not in _counters:
-        _counters[key] = PrefixCounter(model)
-    return _counters[key]
+    return worker_table(("counter", hash(model)), lambda: PrefixCounter(model))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
