@@ -32,6 +32,8 @@ from .common import materialize
 LEAST_WORDS, EDIT_WORDS = 3, 8
 #: Rows of a few longs that are broadcast at most; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Line numbers of four bytes that are broadcast at most.
+BROADCAST_NUMBERS = 8_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -39,6 +41,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _few_numbers(gone: DataFrame) -> DataFrame:
+    """``gone``, marked for broadcast if it has few rows and its arrays few line numbers in all."""
+    rows, numbers = gone.agg(F.count("*"), F.sum(F.size("same") + F.size("near"))).first()
+    return F.broadcast(gone) if rows <= BROADCAST_ROWS and (numbers or 0) <= BROADCAST_NUMBERS else gone
+
+
 def _lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, line_no, line`` (blanks made one, none at the ends) and ``words``, without short lines."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\r\\f]+", " ")
@@ -131,15 +139,15 @@ def _kept() -> F.Column:
 
 def _with_gone(docs: DataFrame) -> DataFrame:
     gone = materialize(dropped_lines(docs.select("doc_id", "text")), "gone")
-    return docs.join(_small(gone), "doc_id", "left")
+    return docs.join(_few_numbers(gone), "doc_id", "left")
 
 
 def drop_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the repeated lines out of ``text``, ``n_chars`` made to fit; all rows and columns stay."""
     columns = docs.columns
     ready = docs.select(*columns)
-    gone = materialize(dropped_lines(docs.select("doc_id", "text"), least_words), "gone").select("doc_id", F.col("same").alias("__same"), F.col("near").alias("__near"))
-    out = ready.join(_small(gone), "doc_id", "left")
+    gone = _few_numbers(materialize(dropped_lines(docs.select("doc_id", "text"), least_words), "gone"))
+    out = ready.join(gone.select("doc_id", F.col("same").alias("__same"), F.col("near").alias("__near")), "doc_id", "left")
     text = F.when(F.col("__same").isNull(), F.col("text")).otherwise(kept_text("text", "__same", "__near"))
     out = out.withColumn("text", text)
     if "n_chars" in columns:
