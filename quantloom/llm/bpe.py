@@ -26,7 +26,6 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,10 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿŒœ“”‘’–—…«»¡¿
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
 
 
+#: Parts of a word up to which pairs are scanned and not queued; both ways give the same ids.
+SCANNED = 64
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -162,13 +165,18 @@ class Codec(Splitter):
         spec = json.loads(vocabulary)
         super().__init__(spec)
         model = spec["model"]
-        self.ids: dict[str, int] = {intern(t): i for t, i in model["vocab"].items()}
-        self.rank = {tuple(map(intern, m.split(" ") if isinstance(m, str) else m)): i for i, m in enumerate(model["merges"])}
+        self.ids: dict[str, int] = model["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        #: Rank of each pair of ids, and the id that a pair of a rank becomes.
+        self.rank = {(self.ids[a], self.ids[b]): i for i, (a, b) in enumerate(merges)}
+        self.joined = [self.ids[a + b] for a, b in merges]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.characters = byte_characters()
+        #: Id of each byte within and at the end of a word; -1 for a byte without one, which gives no token.
+        characters = byte_characters()
+        self.within, self.ending = [self.ids.get(c, -1) for c in characters], [self.ids.get(c + self.suffix, -1) for c in characters]
         self.automaton = None
         if lexicon is not None:
             with tempfile.TemporaryFile() as f:  # mapped, with no name left on the disk
@@ -179,31 +187,48 @@ class Codec(Splitter):
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word by its merges: the lowest rank first, at equal ranks the leftmost."""
-        characters, rank = self.characters, self.rank
-        parts = [characters[b] for b in word.encode("utf-8", "surrogatepass")]
-        if not parts:
+        data = word.encode("utf-8", "surrogatepass")
+        if not data:
             return []
-        parts[-1] += self.suffix
-        # Parts as a linked list; pairs wait in a heap by rank and place, and those of merged parts are passed over.
-        n = len(parts)
+        parts = [self.within[b] for b in data]
+        parts[-1] = self.ending[data[-1]]
+        (self._merge_scanned if len(parts) <= SCANNED else self._merge_queued)(parts)
+        return [p for p in parts if p >= 0]
+
+    def _merge_scanned(self, parts: list[int]) -> None:
+        """Merge in place; the lowest rank is looked for among all pairs, which is quickest for a few."""
+        joined, rank = self.joined, self.rank.get
+        none = len(joined)
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            parts[i] = joined[r]
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+
+    def _merge_queued(self, parts: list[int]) -> None:
+        """Merge in place in n log n steps: parts are a linked list; pairs wait in a heap by rank and place, and those of merged parts are passed over."""
+        joined, rank = self.joined, self.rank.get
+        n, gone = len(parts), -2
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank.get(p)) is not None]
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:])) if (r := rank(p)) is not None]
         heapify(heap)
         while heap:
             r, i = heappop(heap)
             j = after[i]
-            if j >= n or not parts[i] or rank.get((parts[i], parts[j])) != r:
+            if j >= n or parts[i] == gone or rank((parts[i], parts[j])) != r:
                 continue
-            parts[i] += parts[j]
-            parts[j] = ""
+            parts[i], parts[j] = joined[r], gone
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get((parts[i], parts[k]))) is not None:
+                if (r := rank((parts[i], parts[k]))) is not None:
                     heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := rank.get((parts[h], parts[i]))) is not None:
+            if (h := before[i]) >= 0 and (r := rank((parts[h], parts[i]))) is not None:
                 heappush(heap, (r, h))
-        return [self.ids[p] for p in parts if p in self.ids]
 
     def encode_word(self, word: str) -> tuple[bytes, str]:
         """Ids of a word as little-endian 32-bit integers, and its tokens with spaces between."""
