@@ -163,6 +163,50 @@ def test_recall_of_near_passages(spark):
     assert all(r.doc_id // 2 == r.other_id // 2 and r.similarity >= 0.8 for r in rows)
 
 
+@pytest.mark.parametrize("others", [1, 40])
+def test_passage_of_middle_documents_is_found(spark, others):
+    fill = lambda i: [f"f{i}x{k}" for k in range(45)]
+    passage = [f"p{k}" for k in range(50)]
+    # Lesser and greater documents hold every 16 words of the passage, but only 34 of them.
+    part = [passage[:34], passage[16:]]
+    low = [(i, part[i % 2]) for i in range(2 * others)]
+    high = [(i + 1000, part[i % 2]) for i in range(2 * others)]
+    data = [*low, (500, passage), (501, passage), (502, [*passage[:24], "other", *passage[25:]]), *high]
+    docs = spark.createDataFrame([(i, " ".join(fill(i) + p + fill(i + 5000))) for i, p in data], "doc_id long, text string")
+    rows = ps.shared_passages(docs).collect()
+    pairs = {(r.doc_id, r.other_id) for r in rows}
+    assert {(500, 501), (501, 500)} <= pairs <= {(a, b) for a in (500, 501, 502) for b in (500, 501, 502)}
+    assert {(r.begin_word, r.end_word, r.similarity) for r in rows if 502 not in (r.doc_id, r.other_id)} == {(45, 95, 1.0)}
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(77)
+    pool = [[f"q{p}x{k}" for k in range(rng.randrange(50, 70))] for p in range(6)]
+    data = []
+    for i in range(150):
+        words = []
+        for p in rng.sample(range(6), rng.randrange(3)):
+            words += [f"f{i}x{p}x{k}" for k in range(rng.randrange(40))] + pool[p][rng.randrange(12) :] + [f"g{i}x{p}"]
+        data.append((i, " ".join(words)))
+    data += [(200 + k, data[k][1]) for k in range(0, 150, 3)]
+    owners: dict[tuple, set] = {}
+    for i, t in data[:150]:
+        words = t.split()
+        for k in range(len(words) - 49):
+            owners.setdefault(tuple(words[k : k + 50]), set()).add(i)
+    text = dict(data)
+    first = {t: i for i, t in reversed(data)}
+    expected = {(first[text[a]], first[text[b]]) for o in owners.values() for a in o for b in o}
+    expected = {(a, b) for a, b in expected if a != b}
+    rows = ps.shared_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in rows}
+    assert len(expected) > 1000 and expected <= found
+    copies = {(i, first[t]) for i, t in data if i != first[t] and len(t.split()) >= 50}
+    assert copies and copies | {(b, a) for a, b in copies} <= found
+    assert all((r.begin_word, r.end_word, r.similarity) == (0, len(text[r.doc_id].split()), 1.0) for r in rows if (r.doc_id, r.other_id) in copies)
+    assert all(first[text[a]] == a and first[text[b]] == b for a, b in found if (a, b) not in copies and (b, a) not in copies)
+
+
 def _apart(a, b):
     """Word distance of at most one."""
     a, b = a.split(" "), b.split(" ")
