@@ -93,10 +93,12 @@ class PrefixCounter:
         self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.split: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Piece -> piece before it -> whether the pair is stable; and the same for characters without a piece.
+        self.after: dict[str, dict[str, bool]] = {p: {} for p in order}
+        self.bare: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.memo_limit = memo_limit
-        self.counts: dict[str, int] = {}  # prefix of a chunk -> its tokens
-        self.last: dict[str, str] = {}  # and its last piece
+        self.states: dict[str, tuple[int, str]] = {"": (0, "")}  # prefix of a chunk -> its tokens and its last piece
         self.memo: dict[str, int] = _Counts(self)
 
     def merged(self, text: str) -> list[str]:
@@ -115,12 +117,18 @@ class PrefixCounter:
 
     def stable(self, left: str, right: str) -> bool:
         """Whether BPE of ``left + right`` gives these two pieces ("": none)."""
-        key = (left, right)
-        known = self.pairs.get(key)
+        pairs = self.after.get(right)
+        if pairs is None:
+            pairs = self.bare.setdefault(right, {})
+        known = pairs.get(left)
         if known is None:
-            if len(self.pairs) >= 1_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self.apart(left, right) if left else self.merged(right) == [right]
+            if self.n_pairs >= 1_000_000:
+                self.n_pairs = 0
+                self.bare.clear()
+                for kept in self.after.values():
+                    kept.clear()
+            self.n_pairs += 1
+            known = pairs[left] = self.apart(left, right) if left else self.merged(right) == [right]
         return known
 
     def halves(self, piece: str) -> tuple[str, str] | None:
@@ -155,42 +163,41 @@ class PrefixCounter:
 
     def chunk_count(self, chunk: str) -> int:
         """Tokens of ``chunk``; its prefixes share their states with those of other chunks."""
-        counts, last, n = self.counts, self.last, len(chunk)
-        if len(counts) + n > self.memo_limit:
-            counts.clear()
-            last.clear()
+        states, n = self.states, len(chunk)
+        if len(states) + n > self.memo_limit:
+            states.clear()
+            states[""] = 0, ""
         at = n
-        while at and chunk[:at] not in counts:
+        while chunk[:at] not in states:
             at -= 1
-        rank, lengths, pairs, stable = self.rank, self.lengths, self.pairs, self.stable
+        after, lengths = self.after, self.lengths
         for i in range(at + 1, n + 1):
             for size in lengths.get(chunk[i - 2 : i] if i > 1 else chunk[:1], (1,)):
                 j = i - size
                 if j < 0:
                     continue
                 piece = chunk[j:i]
-                if piece in rank:
-                    cost = 1
+                pairs = after.get(piece)
+                if pairs is not None:
+                    count, left = states[chunk[:j]]
+                    known = pairs.get(left)
+                    if known if known is not None else self.stable(left, piece):
+                        states[chunk[:i]] = count + 1, piece
+                        break
                 elif size == 1:
-                    cost = len(piece.encode("utf-8", "surrogatepass"))  # byte fallback
-                else:
-                    continue
-                before = chunk[:j]
-                left = last[before] if j else ""
-                known = pairs.get((left, piece))
-                if known if known is not None else stable(left, piece):
-                    prefix = chunk[:i]
-                    counts[prefix], last[prefix] = (counts[before] if j else 0) + cost, piece
-                    break
+                    count, left = states[chunk[:j]]
+                    if self.stable(left, piece):
+                        states[chunk[:i]] = count + len(piece.encode("utf-8", "surrogatepass")), piece  # byte fallback
+                        break
             else:
                 raise AssertionError(f"no last piece for {chunk[:i]!r}")
-        return counts[chunk]
+        return states[chunk][0]
 
     def chunk_counts(self, chunk: str) -> list[int]:
         """Tokens of ``chunk[:i]`` for i = 0 .. len(chunk)."""
         if len(chunk) <= LONG:
             self.chunk_count(chunk)
-            return [0, *(self.counts[chunk[:i]] for i in range(1, len(chunk) + 1))]
+            return [0, *(self.states[chunk[:i]][0] for i in range(1, len(chunk) + 1))]
         return self.long_counts(chunk)
 
     def long_counts(self, chunk: str) -> list[int]:
