@@ -163,6 +163,56 @@ def test_recall_of_near_passages(spark):
     assert all(r.doc_id // 2 == r.other_id // 2 and r.similarity >= 0.8 for r in rows)
 
 
+def test_words_of_many_texts_are_hashed_together():
+    texts = ["Ein  Wort, a_b x\u00b2", None, "", "\u0130stanbul \u03a3\u0391\u03a3 \u0663\u0664", "...", "\ud800 e\u0301t\u00e9", "la " * 30]
+    hashes, numbers = common.hashed_words(texts)
+    assert numbers.tolist() == [len(common.words_of(t)) for t in texts]
+    assert hashes.tolist() == np.concatenate([common.word_hashes(common.words_of(t)) for t in texts]).tolist()
+    assert [len(x) for x in common.hashed_words([None, "..."])] == [0, 2]
+
+
+def test_windows_reach_no_further_than_the_least_length():
+    rng = random.Random(5)
+    texts = [_text(rng, n) for n in (3, 400, 49, 50, 900)]
+    rows = list(ps.window_rows(list(range(5)), texts))
+    window = np.concatenate([r[2] for r in rows])
+    before, after = window >> 16 & 65_535, window & 65_535
+    assert set(np.concatenate([r[1] for r in rows]).tolist()) == {1, 3, 4}  # a text of 49 words has no window
+    assert max(before.max(), after.max()) == ps.MIN_WORDS - nd.SHINGLE
+    assert (before + after + 1 >= ps.MIN_WORDS - nd.SHINGLE + 1).all()
+    shingles = common.shingle_hashes(common.word_hashes(common.words_of(texts[4])), nd.SHINGLE)
+    text = np.zeros(len(shingles), np.int64)
+    left, place, right = ps.compact_windows(shingles, text, 46, 0)
+    cut = ps.compact_windows(shingles, text, 46, 0, 45)
+    assert [x.tolist() for x in cut] == [np.maximum(left, place - 45).tolist(), place.tolist(), np.minimum(right, place + 45).tolist()]
+
+
+def _shuffled(spark):
+    """Bytes that each stage so far has written for a shuffle."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_of_many_pairs_are_moved_once(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(10_000)]
+    data = [(i, " ".join([*words[: 500 * i], f"own{i}", *words[500 * i :]])) for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    first = max(_shuffled(spark), default=-1)
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")  # small as they are, the tables are shuffled like large ones
+    try:
+        found = ps.shared_passages(docs).select("doc_id", "other_id").distinct().count()
+    finally:
+        spark.conf.set(broadcast, before)
+    assert found == 20 * 19
+    # 190 pairs with a text of 40,000 bytes each would be 8 MB; four cells hold 20 texts at most, and each is moved once before.
+    assert sum(n for stage, n in _shuffled(spark).items() if stage > first) < 8_000_000
+
+
 @pytest.mark.parametrize("others", [1, 40])
 def test_passage_of_middle_documents_is_found(spark, others):
     fill = lambda i: [f"f{i}x{k}" for k in range(45)]
