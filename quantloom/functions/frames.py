@@ -37,6 +37,16 @@ def full(aggregate: Callable[[Column], Column], c: Column | str, n: int, frame:
     return F.when(F.count(col(c)).over(frame) == n, aggregate(col(c)).over(frame))
 
 
+#: Bytes of a partition of ``dealt``, as the plan estimates them; columnar files hold about a sixth of the rows' size.
+PART_BYTES = 8 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over a number of partitions that grows with its size, so that a task's share does not."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), *keys)
+
+
 def average_rank(df: DataFrame, c: str, keys: list[str], name: str) -> DataFrame:
     """``df`` with rank from 1 of ``c`` within ``keys`` as ``name``; ties at their mean, null for null."""
     first = F.rank().over(W.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last()))

@@ -9,10 +9,12 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.functions import blocks as bl
 from quantloom.functions.frames import by, running
 
 #: Bars in a year by interval.
@@ -134,26 +136,42 @@ def var_forecast(returns: DataFrame, method: str = "historical", window: int = 1
     moved by the window's skewness and excess kurtosis); ``ewma`` (zero mean,
     variances of all returns before, seeded with the first window's mean square).
     """
-    z = NormalDist().inv_cdf(1 - level)
-    known, w = returns.where("ret is not null"), by().rowsBetween(-window, -1)
-    mean, n = F.avg("ret").over(w), F.count("ret").over(w)
-    if method == "historical":
-        loss = -F.percentile("ret", F.lit(1 - level)).over(w)
-    elif method == "normal":
-        loss = -(mean + z * F.stddev_samp("ret").over(w))
-    elif method == "cornish_fisher":
-        s, k = F.skewness("ret").over(w), F.kurtosis("ret").over(w)
-        moved = z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
-        loss = -(mean + F.stddev_samp("ret").over(w) * moved)
-    elif method == "ewma":
-        past = F.collect_list(F.col("ret") * F.col("ret")).over(by().rowsBetween(W.unboundedPreceding, -1))
-        seed = f"aggregate(slice(__p, 1, {window}), 0D, (a, x) -> a + x) / {window}"
-        folded = F.expr(f"aggregate(slice(__p, {window + 1}, size(__p)), {seed}, (a, x) -> {decay!r} * a + {1 - decay!r} * x)")
-        known = known.withColumn("__p", past)
-        loss = -z * F.sqrt(folded)
-    else:
+    if method not in ("historical", "normal", "cornish_fisher", "ewma"):
         raise ValueError(f"unknown method {method!r}")
-    return known.withColumn("var", F.when(n == window, loss)).where("var is not null").select(*returns.columns, "var")
+    return var_forecasts(returns, [method], window, level, decay).withColumnRenamed(f"var_{method}", "var")
+
+
+def var_forecasts(returns: DataFrame, methods: list[str], window: int = 100, level: float = 0.95, decay: float = 0.94) -> DataFrame:
+    """``var_<method>`` of each of the methods of ``var_forecast``, from one pass over the series."""
+    z = NormalDist().inv_cdf(1 - level)
+
+    def run(block: bl.Block) -> bl.Block:
+        x, out = block["ret"], {}
+        if "historical" in methods:
+            out["historical"] = -bl.window_quantile(x, window, 1 - level)
+        if "normal" in methods or "cornish_fisher" in methods:
+            mean, s2, s3, s4 = bl.window_powers(x, window)
+            std = np.sqrt(s2 / (window - 1))
+            s, k = np.sqrt(window) * s3 / s2**1.5, window * s4 / (s2 * s2) - 3
+            moved = z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
+            out |= {"normal": -(mean + z * std), "cornish_fisher": -(mean + std * moved)}
+        if "ewma" in methods:
+            out["ewma"] = -z * np.sqrt(_ewma(x * x, window, decay))
+        return {f"var_{m}": bl.lagged(out[m]) for m in methods}
+
+    names = [f"var_{m}" for m in methods]
+    made = bl.per_block(returns.where("ret is not null"), run, ["ret"], names, keep=returns.columns)
+    return made.where(F.coalesce(*names).isNotNull())
+
+
+def _ewma(x: np.ndarray, n: int, decay: float) -> np.ndarray:
+    """Mean of the first ``n`` values, then decayed; NaN before the ``n``-th."""
+    out = np.full(x.shape, np.nan)
+    if len(x) >= n:
+        out[n - 1] = bl.window_sum(x[:n], n)[-1] / n
+        for i in range(n, len(x)):
+            out[i] = decay * out[i - 1] + (1 - decay) * x[i]
+    return out
 
 
 def material_drawdowns(curve: DataFrame, threshold: float = 0.05, top: int = 5) -> DataFrame:

@@ -113,9 +113,8 @@ def cointegration_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _RET,
 )
 def var_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = returns(spark, sf_dir)
-    out = mt.var_forecast(r, "normal").select("entity", "date", F.col("var").alias("var_normal"))
-    return rounded(out.join(mt.var_forecast(r, "cornish_fisher").select("entity", "date", F.col("var").alias("var_cornish_fisher")), ["entity", "date"]), 5)
+    out = mt.var_forecasts(returns(spark, sf_dir), ["normal", "cornish_fisher"])
+    return rounded(out.drop("ret"), 5)
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import by
+from quantloom.functions.frames import by, dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entity, date, open, high, low, close, volume``: line items of a supplier and ship date."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+    """``entity, date, open, high, low, close, volume``: line items of a supplier and ship date.
+
+    Line items are dealt by supplier, so that bars, their windows and their
+    recursions share one shuffle and one sort.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = dealt(lines, "l_suppkey").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     return lines.groupBy(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").alias("date")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("l_quantity").alias("volume")
