@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import across, average_rank, by, full
+from quantloom.functions.quantiles import exact_quantiles, stored
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,8 @@ def list_features() -> list[str]:
     return sorted(_registry)
 
 
-def window_features(bars: DataFrame, n: int = 20, lookback: int = 10, per_year: int = 252) -> DataFrame:
-    """Momentum, breakout, realised measures, drawdown, illiquidity and volume surprise in one window pass."""
+def window_features(bars: DataFrame, n: int = 20, lookback: int = 10, per_year: int = 252, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Momentum, breakout, realised measures, drawdown, illiquidity and volume surprise, and ``also``, in one window pass."""
     r = F.col("close") / F.lag("close").over(by()) - 1
     out = bars.withColumn("r", r)
     out = out.withColumns({"neg": F.when(F.col("r") < 0, F.col("r") * F.col("r")).when(F.col("r").isNotNull(), 0.0), "bp": F.abs("r") * F.abs(F.lag("r").over(by())), "ill": F.abs("r") / F.nullif(F.col("close") * F.col("volume"), F.lit(0.0))})
@@ -59,6 +60,7 @@ def window_features(bars: DataFrame, n: int = 20, lookback: int = 10, per_year:
         (F.col("close") / full(F.max, "close", n) - 1).alias("rolling_drawdown"),
         (1e6 * full(F.avg, "ill", n)).alias("amihud"),
         (F.col("volume") / full(F.avg, "volume", n) - 1).alias("volume_surprise"),
+        *also,
     )
 
 
@@ -88,8 +90,9 @@ def group_demean(df: DataFrame, c: str, group: str, name: str | None = None) ->
 
 def winsorize(df: DataFrame, c: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values limited to the exact quantiles of the whole column."""
-    q = df.agg(F.percentile(c, F.lit(low)).alias("lo"), F.percentile(c, F.lit(high)).alias("hi"))
-    return df.crossJoin(F.broadcast(q)).withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("lo")), F.col("hi")))).drop("lo", "hi")
+    df = stored(df)
+    lo, hi = exact_quantiles(df, {c: [low, high]})[c]
+    return df.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))))
 
 
 def derived(df: DataFrame, name: str, kind: str, a: str, b: str) -> DataFrame:

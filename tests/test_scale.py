@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quantloom.functions import blocks, frames
+from quantloom.functions import blocks, frames, quantiles
 from quantloom.operators import metrics
 from quantloom.plans import load
 from quantloom.plans.catalog import QUERIES
@@ -45,3 +45,19 @@ def test_var_forecasts_against_brute_force(spark, monkeypatch):
 def test_partitions_of_bars_grow_with_their_input(spark, monkeypatch):
     monkeypatch.setattr(frames, "PART_BYTES", 1 << 10)
     assert bars(spark, SMALL).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_exact_quantiles_are_those_of_percentile(spark, monkeypatch):
+    """Sketches too coarse and brackets too small make every branch run."""
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"a": rng.normal(size=4_000), "b": rng.integers(0, 5, 4_000).astype(float)})
+    df = spark.createDataFrame(pdf).selectExpr("if(a > 2.5, null, a) AS a", "b", "cast(null AS double) AS c")
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    monkeypatch.setattr(quantiles, "VALUES", 500)
+    got = quantiles.exact_quantiles(df, {"a": [0.01, 0.5, 1.0], "b": [0.3], "c": [0.5]})
+    want = df.selectExpr("percentile(a, array(0.01, 0.5, 1.0)) AS a", "percentile(b, 0.3) AS b").first()
+    assert got == {"a": list(want.a), "b": [want.b], "c": [None]}
+
+
+def test_winsorized_brings_no_column_into_one_task(spark):
+    assert "percentile" not in _plan(QUERIES["winsorized"](spark, SMALL))
