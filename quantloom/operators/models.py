@@ -17,6 +17,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, DecisionTreeRegressor,
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.quantiles import exact_quantiles
 from quantloom.operators import features as ft
 from quantloom.operators import learning as ln
 
@@ -35,8 +36,15 @@ def _from_row(stats: DataFrame, columns: list[str], apply: Callable[[DataFrame,
     return run
 
 
+def _quantile_row(train: DataFrame, columns: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """One row ``__<name>_<column>`` of exact quantiles."""
+    made = exact_quantiles(train, {c: list(quantiles.values()) for c in columns})
+    row = {f"__{n}_{c}": v for c in columns for n, v in zip(quantiles, made[c], strict=True)}
+    return train.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"`{n}` double" for n in row))
+
+
 def winsorize(train: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> Fitted:
-    stats = train.agg(*(F.percentile(c, F.lit(q)).alias(f"__{n}_{c}") for c in columns for n, q in (("lo", low), ("hi", high))))
+    stats = _quantile_row(train, columns, {"lo": low, "hi": high})
     return _from_row(stats, columns, lambda d, c: d.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"__lo_{c}")), F.col(f"__hi_{c}")))))
 
 
@@ -46,13 +54,14 @@ def zscore(train: DataFrame, columns: list[str]) -> Fitted:
 
 
 def robust_scale(train: DataFrame, columns: list[str]) -> Fitted:
-    stats = train.agg(*(F.percentile(c, F.lit(q)).alias(f"__{n}_{c}") for c in columns for n, q in (("a", 0.25), ("m", 0.5), ("b", 0.75))))
+    stats = _quantile_row(train, columns, {"a": 0.25, "m": 0.5, "b": 0.75})
     return _from_row(stats, columns, lambda d, c: d.withColumn(c, (F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__b_{c}") - F.col(f"__a_{c}"), F.lit(0.0))))
 
 
 def impute(train: DataFrame, columns: list[str], how: str = "median") -> Fitted:
-    value = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg}[how]
-    stats = train.agg(*(value(c).alias(f"__v_{c}") for c in columns))
+    if how not in ("median", "mean"):
+        raise KeyError(how)
+    stats = _quantile_row(train, columns, {"v": 0.5}) if how == "median" else train.agg(*(F.avg(c).alias(f"__v_{c}") for c in columns))
     return _from_row(stats, columns, lambda d, c: d.withColumn(c, F.coalesce(c, f"__v_{c}")))
 
 

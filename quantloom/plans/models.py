@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import rounded
+from quantloom.functions.quantiles import stored
 from quantloom.operators import allocation as al
 from quantloom.operators import features as ft
 from quantloom.operators import learning as ln
@@ -61,8 +62,7 @@ def inverse_volatility_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def walk_forward_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-sample predictions of forward returns from window features, two steps and ridge regression."""
-    b = bars(spark, sf_dir)
-    panel = ft.window_features(b).join(ln.forward_return(b, 5), ["entity", "date"])
     run = md.Experiment(["momentum", "rolling_drawdown", "volume_surprise"], steps=[("winsorize", {}), ("zscore", {})])
+    panel = stored(ft.window_features(bars(spark, sf_dir), also=ln.forward_columns(5)).select("entity", "date", *run.features, "target", "label_end_date"))
     n = panel.select("date").distinct().count()
     return rounded(run.walk_forward(panel, n // 2, n // 4, 5).select("entity", "date", "fold", "prediction"), 4)
