@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quantloom.functions import blocks, frames, quantiles
-from quantloom.operators import metrics
+from quantloom.functions import blocks, frames, pairs, quantiles
+from quantloom.operators import metrics, statistics
 from quantloom.plans import load
 from quantloom.plans.catalog import QUERIES
 from quantloom.sources.tables import bars
@@ -61,3 +61,23 @@ def test_exact_quantiles_are_those_of_percentile(spark, monkeypatch):
 
 def test_winsorized_brings_no_column_into_one_task(spark):
     assert "percentile" not in _plan(QUERIES["winsorized"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["average_correlation", "pair_covariances"])
+def test_pairs_are_not_rows_of_dates(spark, name):
+    """Names meet in blocks: nothing joins rows by date."""
+    plan = _plan(QUERIES[name](spark, SMALL))
+    assert "FlatMapGroupsInArrow" in plan and "[date#" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_moments_of_series_that_hardly_move_are_exact():
+    x = np.array([[5.0, 0.3, 0.3, 0.3]])
+    m = np.ones((1, 4))
+    k = np.array([[0.0, 1, 1, 1]])
+    n, sxy, sxx, syy = pairs.moments((x, m), (x * k, k))
+    assert n[0, 0] == 3 and sxx[0, 0] == syy[0, 0] == sxy[0, 0] == 0
+
+
+def test_cointegration_takes_any_number_of_names(spark):
+    df = spark.range(2_002).selectExpr("id AS entity", "explode(sequence(0, 1)) AS d").selectExpr("entity", "timestamp'2020-01-01' + make_dt_interval(d) AS date", "1.0D + entity AS close")
+    assert statistics.cointegration_scan(df).count() == 0
