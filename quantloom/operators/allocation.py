@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import blocks as bl
 from quantloom.functions.frames import across, by, running
 
 
 def ewma_volatility(returns: DataFrame, half_life: float, most: int = 500, per_year: int = 252) -> DataFrame:
     """Exponentially weighted volatility over the last ``most`` rows, known before each date."""
     decay = 0.5 ** (1 / half_life)
-    w = by().rowsBetween(-most, -1)
-    past = F.collect_list(F.col("ret") * F.col("ret")).over(w)
-    out = returns.where("ret is not null").withColumn("__p", past)
-    folded = F.expr(f"aggregate(__p, named_struct('s', 0D, 'w', 0D), (a, x) -> named_struct('s', a.s * {decay!r} + x, 'w', a.w * {decay!r} + 1D), a -> IF(a.w > 0, a.s / a.w, NULL))")
-    return out.withColumn("vol", F.sqrt(folded * per_year)).drop("__p")
+
+    def run(block: bl.Block) -> bl.Block:
+        x = block["ret"] ** 2
+        out, total, weight = np.full(x.shape, np.nan), np.zeros(x.shape[1]), 0.0
+        for i in range(1, len(x)):
+            total, weight = total * decay + x[i - 1], weight * decay + 1
+            if i > most:  # the row that leaves has decayed this far
+                total, weight = np.maximum(total - decay**most * x[i - 1 - most], 0.0), weight - decay**most
+            out[i] = np.sqrt(total / weight * per_year)
+        return {"vol": out}
+
+    return bl.per_block(returns.where("ret is not null"), run, ["ret"], ["vol"], keep=returns.columns)
 
 
 def inverse_volatility(returns: DataFrame, half_life: float = 20.0, cap: float = 1.0) -> DataFrame:

@@ -62,7 +62,10 @@ def bollinger_signal(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 def recursive_signal(bars: DataFrame, kind: str, oversold: float = 30, overbought: float = 70, strength: float = 25) -> DataFrame:
     """``rsi``, ``macd`` or ``adx`` signals from one pass over the recursive indicators; bars without a value hold the state."""
-    panel = bars.join(ind.recursive_panel(bars), ["entity", "date"])
+    needed = {"macd": ("macd", "macd_signal"), "adx": ("adx", "plus_di", "minus_di"), "rsi": ("rsi",)}
+    if kind not in needed:
+        raise ValueError(f"unknown signal {kind!r}")
+    panel = ind.recursive_panel(bars, only=needed[kind], keep=bars.columns)
     if kind == "macd":
         up = F.nanvl(F.col("macd") - F.col("macd_signal"), F.lit(None)) > 0
         signal = latch(up, ~up)
@@ -70,11 +73,9 @@ def recursive_signal(bars: DataFrame, kind: str, oversold: float = 30, overbough
         known = [F.nanvl(F.col(c), F.lit(None)) for c in ("adx", "plus_di", "minus_di")]
         up = F.when(known[0].isNotNull() & known[1].isNotNull() & known[2].isNotNull(), (known[0] > strength) & (known[1] > known[2]))
         signal = latch(up, ~up)
-    elif kind == "rsi":
+    else:
         rsi = F.nanvl(F.col("rsi"), F.lit(None))
         signal = latch(rsi < oversold, rsi > overbought)
-    else:
-        raise ValueError(f"unknown signal {kind!r}")
     return panel.withColumn("signal", signal).select(*bars.columns, "signal")
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import blocks as bl
 from quantloom.functions.frames import by, clipped, col, full, rows, running
 
 
@@ -110,6 +111,22 @@ def with_overnight(bars: DataFrame) -> DataFrame:
     return bars.withColumn("overnight", F.log(F.col("open") / F.lag("close").over(by())))
 
 
+def range_volatilities(bars: DataFrame, n: int = 20, per_year: int = 252) -> DataFrame:
+    """``parkinson``, ``garman_klass`` and ``yang_zhang`` as ``volatility`` has them, over blocks of entities."""
+    k = 0.34 / (1.34 + (n + 1) / (n - 1))
+
+    def run(block: bl.Block) -> bl.Block:
+        o, h, lo, c = (np.log(np.where(block[x] > 0, block[x], np.nan)) for x in ("open", "high", "low", "close"))
+        gap, co = o - bl.lagged(c), c - o
+        mean = lambda x: bl.window_sum(x, n) / n
+        gaps, moves = bl.window_moments(n, (gap, gap), (co, co))
+        variances = {"parkinson": mean((h - lo) ** 2) / (4 * np.log(2)), "garman_klass": mean(0.5 * (h - lo) ** 2 - (2 * np.log(2) - 1) * co * co)}
+        variances["yang_zhang"] = gaps / (n - 1) + k * moves / (n - 1) + (1 - k) * mean((h - c) * (h - o) + (lo - c) * (lo - o))
+        return {name: np.sqrt(np.maximum(v, 0.0) * per_year) for name, v in variances.items()}
+
+    return bl.per_block(bars, run, ["open", "high", "low", "close"], ["parkinson", "garman_klass", "yang_zhang"])
+
+
 # Recursions -----------------------------------------------------------------
 
 
@@ -226,19 +243,116 @@ def per_entity(df: DataFrame, run: Callable[[pd.DataFrame], dict[str, np.ndarray
     return df.groupBy(entity).applyInPandas(group, schema)
 
 
-def recursive_panel(bars: DataFrame, rsi: int = 14, adx: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, span: int = 20, wilder: int = 14) -> DataFrame:
-    """EMA, MACD, RSI, ADX, Wilder ATR and parabolic SAR of each entity, in one pass."""
+def ema_block(x: np.ndarray, span: int) -> np.ndarray:
+    """``ema_values`` of each column."""
+    alpha, state = 2 / (span + 1), np.full(x.shape[1], np.nan)
+    out = np.empty(x.shape)
+    for i, v in enumerate(x):
+        missing = np.isnan(v)
+        state = np.where(missing, state, np.where(np.isnan(state), v, state + alpha * (v - state)))
+        out[i] = np.where(missing, np.nan, state)
+    return out
+
+
+def _wilder_block(x: np.ndarray, n: int) -> np.ndarray:
+    """Wilder means of columns without gaps."""
+    out = np.full(x.shape, np.nan)
+    if len(x) >= n:
+        out[n - 1] = x[:n].sum(axis=0) / n
+        for i in range(n, len(x)):
+            out[i] = (out[i - 1] * (n - 1) + x[i]) / n
+    return out
+
+
+def wilder_block(x: np.ndarray, n: int) -> np.ndarray:
+    """``wilder_mean`` of each column."""
+    return bl.packed(lambda y: (_wilder_block(y, n),), x)[0]
+
+
+def rsi_block(x: np.ndarray, n: int) -> np.ndarray:
+    """``rsi_values`` of each column."""
+
+    def run(y: np.ndarray) -> tuple[np.ndarray]:
+        change = y - bl.lagged(y)
+        up, down = (np.full(y.shape, np.nan) for _ in range(2))
+        up[1:], down[1:] = _wilder_block(np.maximum(change[1:], 0), n), _wilder_block(np.maximum(-change[1:], 0), n)
+        return (np.where(down == 0, 100.0, 100 - 100 / (1 + up / down)),)
+
+    return bl.packed(run, x)[0]
+
+
+def adx_block(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``adx_values`` of each column, bars with a missing value skipped."""
+
+    def run(h: np.ndarray, lo: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        up, down, before = h - bl.lagged(h), bl.lagged(lo) - lo, bl.lagged(c)
+        tr = np.maximum(np.maximum(h - lo, np.abs(h - before)), np.abs(lo - before))
+        moves = tr, np.where(np.isnan(tr), np.nan, np.where((up > down) & (up > 0), up, 0.0)), np.where(np.isnan(tr), np.nan, np.where((down > up) & (down > 0), down, 0.0))
+        sums = [np.full(h.shape, np.nan) for _ in moves]
+        if len(h) > n:
+            for s, x in zip(sums, moves, strict=True):
+                s[n] = x[1 : n + 1].sum(axis=0)
+                for i in range(n + 1, len(h)):
+                    s[i] = s[i - 1] - s[i - 1] / n + x[i]
+        s, p, m = sums
+        plus, minus = (np.where(s > 0, 100 * x / s, np.where(np.isnan(s), np.nan, 0.0)) for x in (p, m))
+        dx = np.where(plus + minus > 0, 100 * np.abs(plus - minus) / (plus + minus), np.where(np.isnan(plus), np.nan, 0.0))
+        adx = np.full(h.shape, np.nan)
+        adx[n:] = _wilder_block(dx[n:], n)
+        return adx, plus, minus
+
+    return bl.packed(run, high, low, close)
+
+
+def psar_block(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """``psar_values`` of each column, bars with a missing value skipped."""
+
+    def run(h: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sar, trend = np.full(h.shape, np.nan), np.full(h.shape, np.nan)
+        up, stop, extreme, speed = np.ones(h.shape[1], bool), lo[0], h[0], np.full(h.shape[1], step)
+        sar[0], trend[0] = stop, 1
+        for i in range(1, len(h)):
+            stop = stop + speed * (extreme - stop)
+            j = max(i - 2, 0)
+            stop = np.where(up, np.minimum(np.minimum(stop, lo[i - 1]), lo[j]), np.maximum(np.maximum(stop, h[i - 1]), h[j]))
+            turn = np.where(up, lo[i] < stop, h[i] > stop)
+            far = ~turn & np.where(up, h[i] > extreme, lo[i] < extreme)
+            stop = np.where(turn, extreme, stop)
+            speed = np.where(turn, step, np.where(far, np.minimum(speed + step, most), speed))
+            up = up ^ turn
+            extreme = np.where(turn | far, np.where(up, h[i], lo[i]), extreme)
+            sar[i], trend[i] = stop, np.where(up, 1.0, -1.0)
+        return sar, trend
+
+    return bl.packed(run, high, low)
+
+
+PANEL = ("ema", "macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "wilder_atr", "psar", "psar_trend")
+
+
+def recursive_panel(bars: DataFrame, rsi: int = 14, adx: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, span: int = 20, wilder: int = 14, only: tuple[str, ...] = PANEL, keep: list[str] | None = None) -> DataFrame:
+    """EMA, MACD, RSI, ADX, Wilder ATR and parabolic SAR (or ``only`` some) of each entity beside ``keep``, in one pass over blocks of entities."""
     if fast >= slow:
         raise ValueError("fast must be less than slow")
 
-    def run(p: pd.DataFrame) -> dict[str, np.ndarray]:
-        high, low, close = (p[c].to_numpy(float) for c in ("high", "low", "close"))
-        macd = ema_values(close, fast) - ema_values(close, slow)
-        line = ema_values(macd, signal)
-        strength, plus, minus = gapless(lambda h, lo, c: adx_values(h, lo, c, adx), high, low, close)
-        tr = np.r_[np.nan, np.maximum.reduce([high[1:] - low[1:], np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])])] if len(p) else close
-        sar, trend = gapless(psar_values, high, low)
-        return {"ema": ema_values(close, span), "macd": macd, "macd_signal": line, "macd_hist": macd - line, "rsi": rsi_values(close, rsi), "adx": strength, "plus_di": plus, "minus_di": minus, "wilder_atr": wilder_mean(tr, wilder), "psar": sar, "psar_trend": trend}
-
-    names = ["ema", "macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "wilder_atr", "psar", "psar_trend"]
-    return per_entity(bars.select("entity", "date", "high", "low", "close"), run, names)
+    def run(block: bl.Block) -> bl.Block:
+        high, low, close = (block[c] for c in ("high", "low", "close"))
+        out = {}
+        if {"macd", "macd_signal", "macd_hist"} & set(only):
+            macd = ema_block(close, fast) - ema_block(close, slow)
+            line = ema_block(macd, signal)
+            out |= {"macd": macd, "macd_signal": line, "macd_hist": macd - line}
+        if {"adx", "plus_di", "minus_di"} & set(only):
+            out |= dict(zip(("adx", "plus_di", "minus_di"), adx_block(high, low, close, adx), strict=True))
+        if {"psar", "psar_trend"} & set(only):
+            out |= dict(zip(("psar", "psar_trend"), psar_block(high, low), strict=True))
+        if "ema" in only:
+            out["ema"] = ema_block(close, span)
+        if "rsi" in only:
+            out["rsi"] = rsi_block(close, rsi)
+        if "wilder_atr" in only:
+            before = bl.lagged(close)
+            out["wilder_atr"] = wilder_block(np.maximum(np.maximum(high - low, np.abs(high - before)), np.abs(low - before)), wilder)
+        return {n: out[n] for n in only}
+
+    return bl.per_block(bars, run, ["high", "low", "close"], list(only), keep=keep)

@@ -99,18 +99,21 @@ def relative_to(returns: DataFrame, market: DataFrame, per_year: int = 252) -> D
 
 def rolling_beta(returns: DataFrame, market: DataFrame, n: int = 60) -> DataFrame:
     """``beta`` of the last ``n`` common dates, by windowed covariance over variance."""
-    both = returns.join(market, "date").where("ret is not null and market_ret is not null")
-    w = by().rowsBetween(-(n - 1), 0)
-    value = F.covar_samp("ret", "market_ret").over(w) / F.nullif(F.var_samp("market_ret").over(w), F.lit(0.0))
-    return both.select("entity", "date", F.when(F.count("*").over(w) == n, value).alias("beta"))
+    # A row for each date, which does not grow with the names: the returns stay as they are dealt.
+    both = returns.join(F.broadcast(market), "date").where("ret is not null and market_ret is not null")
+
+    def run(block: bl.Block) -> bl.Block:
+        x, y = block["ret"], block["market_ret"]
+        cov, var = bl.window_moments(n, (x, y), (y, y))
+        return {"beta": np.where(var > 0, cov / var, np.nan)}
+
+    return bl.per_block(both, run, ["ret", "market_ret"], ["beta"])
 
 
 def var_exceptions(returns: DataFrame, window: int = 100, level: float = 0.95) -> DataFrame:
     """Historical VaR of the ``window`` rows before each date, and whether the loss went beyond it."""
-    w = by().rowsBetween(-window, -1)
-    known = returns.where("ret is not null")
-    out = known.withColumn("var", F.when(F.count("ret").over(w) == window, -F.percentile("ret", F.lit(1 - level)).over(w)))
-    return out.where("var is not null").withColumn("exception", (F.col("ret") < -F.col("var")).cast("int"))
+    out = var_forecast(returns, "historical", window, level)
+    return out.withColumn("exception", (F.col("ret") < -F.col("var")).cast("int"))
 
 
 def kupiec(exceptions: DataFrame, level: float = 0.95) -> DataFrame:

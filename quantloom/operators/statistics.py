@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.functions import blocks as bl
 from quantloom.functions import pairs as pr
 from quantloom.functions.frames import by, full
 from quantloom.functions.special import normal_cdf
@@ -154,24 +155,26 @@ def adf(x: np.ndarray, lags: int = 1) -> float:
 def kalman_hedge(df: DataFrame, y: str, x: str, delta: float = 1e-4, noise: float = 1e-3) -> DataFrame:
     """Hedge ratio and intercept that follow a random walk."""
 
-    def run(p: pd.DataFrame) -> dict[str, np.ndarray]:
-        b, cov = np.zeros(2), np.eye(2)
-        q = delta / (1 - delta) * np.eye(2)
-        out = np.full((len(p), 3), np.nan)
-        for i, (u, v) in enumerate(zip(p[y].to_numpy(float), p[x].to_numpy(float), strict=True)):
-            if np.isnan(u) or np.isnan(v):
-                continue
-            h = np.array([v, 1.0])
-            cov = cov + q
-            s = h @ cov @ h + noise
-            e = u - h @ b
-            gain = cov @ h / s
-            b = b + gain * e
-            cov = cov - np.outer(gain, h) @ cov
-            out[i] = (*b, e)
-        return {"hedge": out[:, 0], "intercept": out[:, 1], "error": out[:, 2]}
-
-    return per_entity(df, run, ["hedge", "intercept", "error"])
+    def run(block: bl.Block) -> bl.Block:
+        u, v = block["y"], block["x"]
+        hedge, intercept, error = (np.full(u.shape, np.nan) for _ in range(3))
+        b0, b1 = np.zeros(u.shape[1]), np.zeros(u.shape[1])
+        # The symmetric covariance of the two states.
+        p00, p01, p11 = np.ones(u.shape[1]), np.zeros(u.shape[1]), np.ones(u.shape[1])
+        q = delta / (1 - delta)
+        for i in range(len(u)):
+            known = ~(np.isnan(u[i]) | np.isnan(v[i]))
+            a, h = p00 + q, v[i]
+            d = p11 + q
+            g0, g1 = a * h + p01, p01 * h + d
+            s = h * g0 + g1 + noise
+            e = u[i] - h * b0 - b1
+            b0, b1 = np.where(known, b0 + g0 / s * e, b0), np.where(known, b1 + g1 / s * e, b1)
+            p00, p01, p11 = np.where(known, a - g0 / s * g0, p00), np.where(known, p01 - g0 / s * g1, p01), np.where(known, d - g1 / s * g1, p11)
+            hedge[i], intercept[i], error[i] = (np.where(known, z, np.nan) for z in (b0, b1, e))
+        return {"hedge": hedge, "intercept": intercept, "error": error}
+
+    return bl.per_block(df.select("entity", "date", F.col(y).alias("y"), F.col(x).alias("x")), run, ["y", "x"], ["hedge", "intercept", "error"])
 
 
 def garch(df: DataFrame, c: str, alpha: float = 0.05, beta: float = 0.9) -> DataFrame:
@@ -192,9 +195,16 @@ def garch(df: DataFrame, c: str, alpha: float = 0.05, beta: float = 0.9) -> Data
 
 def regimes(df: DataFrame, c: str, n: int = 60) -> DataFrame:
     """``low``, ``normal`` or ``high`` by the trailing deviation against its own quartiles over each entity."""
-    v = df.withColumn("vol", full(F.stddev_samp, c, n)).where("vol is not null")
-    q = v.groupBy("entity").agg(F.percentile("vol", F.lit(0.25)).alias("q1"), F.percentile("vol", F.lit(0.75)).alias("q3"))
-    return v.join(q, "entity").select("entity", "date", "vol", F.when(F.col("vol") < F.col("q1"), "low").when(F.col("vol") > F.col("q3"), "high").otherwise("normal").alias("regime"))
+
+    def run(block: bl.Block) -> bl.Block:
+        vol = np.sqrt(bl.window_moments(n, (block[c], block[c]))[0] / (n - 1))
+        some = ~np.isnan(vol).all(axis=0)
+        q = np.full((2, vol.shape[1]), np.nan)
+        q[:, some] = np.nanquantile(vol[:, some], [0.25, 0.75], axis=0)
+        return {"vol": vol, "side": np.where(np.isnan(vol), np.nan, np.where(vol < q[0], -1.0, np.where(vol > q[1], 1.0, 0.0)))}
+
+    v = bl.per_block(df, run, [c], ["vol", "side"]).where("vol is not null")
+    return v.select("entity", "date", "vol", F.when(F.col("side") < 0, "low").when(F.col("side") > 0, "high").otherwise("normal").alias("regime"))
 
 
 def block_bootstrap(df: DataFrame, c: str, draws: int = 200, block: int = 10, seed: int = 0) -> DataFrame:

@@ -81,8 +81,7 @@ def donchian(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("bars",),
 )
 def range_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ("parkinson", "garman_klass", "yang_zhang")
-    return rounded(ind.with_overnight(bars(spark, sf_dir)).select("entity", "date", *(ind.volatility(k).alias(k) for k in kinds)))
+    return rounded(ind.range_volatilities(bars(spark, sf_dir)))
 
 
 def _ema(x: str, span: int) -> str:
@@ -113,7 +112,7 @@ _RUN = "OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING)"
     ("bars",),
 )
 def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ind.recursive_panel(bars(spark, sf_dir)).drop("psar", "psar_trend"), 4)
+    return rounded(ind.recursive_panel(bars(spark, sf_dir), only=("ema", "macd", "macd_signal", "macd_hist", "rsi", "adx", "plus_di", "minus_di", "wilder_atr")), 4)
 
 
 # State of the stop: trend, stop, extreme, speed, and the two bars before.
@@ -125,7 +124,7 @@ _SAR = """list_reduce(list({'up': true, 'stop': low, 'ext': high, 'speed': 0.02,
 
 @query(f", s AS (SELECT entity, date, {_SAR} AS s FROM bars) SELECT entity, date, round(s.stop, 6) AS psar, CASE WHEN s.up THEN 1.0 ELSE -1.0 END AS psar_trend FROM s", ("bars",))
 def parabolic_sar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ind.recursive_panel(bars(spark, sf_dir)).select("entity", "date", "psar", "psar_trend"))
+    return rounded(ind.recursive_panel(bars(spark, sf_dir), only=("psar", "psar_trend")))
 
 
 @query(
