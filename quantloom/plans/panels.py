@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import rounded
+from quantloom.functions.frames import dealt, rounded
 from quantloom.operators import backtest as bt
 from quantloom.operators import features as ft
 from quantloom.operators import joins, quality
@@ -106,7 +106,7 @@ def ohlc_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     (*_RET, "sectors"),
 )
 def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = returns(spark, sf_dir).where("ret is not null").join(F.broadcast(sectors(spark, sf_dir)), "entity")
+    x = dealt(returns(spark, sf_dir).where("ret is not null"), "date").join(F.broadcast(sectors(spark, sf_dir)), "entity")
     out = ft.group_demean(ft.rank_by_date(ft.standardize_by_date(x, "ret"), "ret"), "ret", "sector")
     return rounded(out.select("entity", "date", "ret_z", "ret_rank", "ret_neutral"))
 
