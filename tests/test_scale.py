@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import blocks, frames, pairs, quantiles
-from quantloom.operators import metrics, microstructure, statistics
+from quantloom.operators import indicators, metrics, microstructure, statistics
 from quantloom.plans import load
 from quantloom.plans.catalog import QUERIES
 from quantloom.sources.tables import bars
@@ -98,3 +98,17 @@ def test_zero_books_count_where_every_book_does(spark):
     book = spark.createDataFrame(rows, "symbol int, ts int, seq int, bid_price double, ask_price double, bid_size double, ask_size double")
     assert [(r.seq, r.microprice, r.ofi) for r in microstructure.book_metrics(book, every=True).orderBy("seq").collect()] == [(0, 0.0, None), (1, 9.5, 2.0)]
     assert microstructure.book_metrics(book).count() == 1
+
+
+def test_blocks_give_what_series_give():
+    rng = np.random.default_rng(2)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, (90, 4)), axis=0))
+    close[:, 1][40:] = np.nan
+    close[10:13, 2] = np.nan
+    high, low = close + 1, close - 1
+    ours = [indicators.ema_block(close, 9), indicators.rsi_block(close, 14), indicators.wilder_block(close, 14), *indicators.adx_block(high, low, close, 14), *indicators.psar_block(high, low)]
+    for j in range(4):
+        c, h, lo = close[:, j], high[:, j], low[:, j]
+        theirs = [indicators.ema_values(c, 9), indicators.rsi_values(c, 14), indicators.wilder_mean(c, 14), *indicators.gapless(lambda h, lo, c: indicators.adx_values(h, lo, c, 14), h, lo, c), *indicators.gapless(indicators.psar_values, h, lo)]
+        for a, b in zip(ours, theirs, strict=True):
+            assert np.allclose(a[:, j], b, rtol=1e-9, equal_nan=True)
