@@ -64,8 +64,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
     def near(name: str) -> Column:
         value = F.nanvl(F.col(name), F.lit(None).cast("double"))
-        # Infinite values, and those so large that they are whole, stay; ``floor`` gives a long.
-        small = F.abs(value) * 10.0**digits < 2.0**62
-        return F.when(small, F.floor(value * 10.0**digits + 0.5000001) / 10.0**digits).otherwise(value).alias(name)
+        # ``floor`` gives a long; what is too large for one is whole (or infinite) without it.
+        up = value * 10.0**digits + 0.5000001
+        return (F.when(F.abs(value) * 10.0**digits < 2.0**62, F.floor(up).cast("double")).otherwise(up) / 10.0**digits).alias(name)
 
     return df.select(*(near(c) if t == "double" else F.col(c) for c, t in df.dtypes))

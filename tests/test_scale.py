@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import blocks, frames, pairs, quantiles
 from quantloom.operators import indicators, metrics, microstructure, statistics
 from quantloom.plans import load
-from quantloom.plans.catalog import QUERIES
+from quantloom.plans.catalog import QUERIES, SQL
 from quantloom.sources.tables import bars
 from tests.conftest import SMALL
 
@@ -116,3 +119,17 @@ def test_blocks_give_what_series_give():
 
 def test_uniqueness_weights_join_nothing_by_row(spark):
     assert "SortMergeJoin" not in _plan(QUERIES["uniqueness_weights"](spark, SMALL))
+
+
+def test_books_and_rounding_are_those_of_sql_on_odd_events(spark):
+    """Null, negative and very large values; event numbers below 0, whose sizes can sum to 0."""
+    values = [1.25, None, 2.5, -3.0, 0.0, 4567890123456.789, 3e14, 1e300, 7.0]
+    rows = [(1 + k, 2 * i + k - 9, v) for i, v in enumerate(values) for k in (0, 1)]
+    folder = tempfile.mkdtemp()
+    events = spark.createDataFrame(rows, "user_id long, event_id long, value double").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    got = QUERIES["book_metrics"](spark, folder).orderBy("seq").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    clean = lambda x: None if x is None or x != x else x
+    assert [tuple(map(clean, r)) for r in got] == [tuple(map(clean, r)) for r in con.execute(f"SELECT * FROM ({SQL['book_metrics']}) ORDER BY seq").fetchall()]
