@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import blocks, frames, pairs, quantiles
-from quantloom.operators import indicators, metrics, microstructure, statistics
+from quantloom.operators import indicators, metrics, microstructure, network, statistics
 from quantloom.plans import load
 from quantloom.plans.catalog import QUERIES, SQL
 from quantloom.sources.tables import bars
@@ -133,3 +133,57 @@ def test_books_and_rounding_are_those_of_sql_on_odd_events(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
     clean = lambda x: None if x is None or x != x else x
     assert [tuple(map(clean, r)) for r in got] == [tuple(map(clean, r)) for r in con.execute(f"SELECT * FROM ({SQL['book_metrics']}) ORDER BY seq").fetchall()]
+
+
+def _tree_degrees(c: np.ndarray) -> np.ndarray:
+    """Kruskal over all pairs, greatest correlation first, then the lesser names."""
+    n = len(c)
+    group, degree = list(range(n)), np.zeros(n, int)
+    for _, i, j in sorted((-np.rint(c[i, j] * 1e12), i, j) for i in range(n) for j in range(i + 1, n)):
+        if group[i] != group[j]:
+            degree[[i, j]] += 1
+            group = [group[i] if g == group[j] else g for g in group]
+    return degree
+
+
+def test_trees_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """Many small blocks, forests joined in several rounds; copies of names make ties, one name does not move, one has 2 returns."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.02, (40, 60))
+    x[30:36], x[36] = x[:6], 0.1
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[30:36] = x[:6]
+    x[37, 2:] = np.nan
+    x[37, :2] = 0.01, 0.02
+    rows = [(int(e), pd.Timestamp("2020-11-20") + pd.Timedelta(days=int(d)), float(x[e, d])) for e, d in zip(*np.nonzero(~np.isnan(x)), strict=True)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["entity", "date", "ret"]))
+    monkeypatch.setattr(network, "FAN", 2)
+    monkeypatch.setattr(pairs, "sides", lambda df: (6, 7))
+    got = network.mst_degree(df).toPandas().set_index(["period", "entity"])["degree"]
+    edge = (pd.Timestamp("2021-01-01") - pd.Timestamp("2020-11-20")).days
+    for period, part in (("2020-01-01", x[:, :edge]), ("2021-01-01", x[:, edge:])):
+        names = np.flatnonzero((~np.isnan(part)).sum(axis=1) >= 3)
+        z = np.nan_to_num(part[names] - np.nanmean(part[names], axis=1)[:, None])
+        z[names == 36] = 0
+        length = np.sqrt((z * z).sum(axis=1))
+        z /= np.where(length > 0, length, 1)[:, None]
+        want = pd.Series(_tree_degrees(np.minimum(z @ z.T, 1)), names)
+        assert got.loc[pd.Timestamp(period)].sort_index().to_dict() == want.to_dict()
+
+
+def test_trees_and_components_hold_no_panel(spark):
+    for name in ("mst_degree", "pca_loadings"):
+        assert "FlatMapGroupsInPandas" not in _plan(QUERIES[name](spark, SMALL))
+
+
+def test_component_of_sums_is_that_of_the_panel(spark, monkeypatch):
+    monkeypatch.setattr(network, "ROWS", 50)
+    pdf, _ = _panel(spark, 9, 300)
+    pdf.loc[pdf.index[::7], "ret"] = None
+    pdf.loc[(pdf["entity"] == 8) & (pdf["date"] >= "2020-01-03"), "ret"] = None
+    flat = pd.DataFrame([(e, pd.Timestamp("2030-01-01") + pd.Timedelta(days=d), 0.1) for e in (1, 2) for d in range(4)], columns=["entity", "date", "ret"])
+    df = spark.createDataFrame(pd.concat([pdf, flat])).selectExpr("entity", "date", "if(isnan(ret), null, ret) AS ret").repartition(3)
+    got, want = (f.toPandas().set_index(["period", "entity"]).sort_index() for f in (network.pca(df, "quarter"), network._pca_of_panels(df, "quarter")))
+    assert got.index.equals(want.index) and len(got) > 20
+    assert np.allclose(got.drop(pd.Timestamp("2030-01-01"))[["loading", "share"]], want.drop(pd.Timestamp("2030-01-01"))[["loading", "share"]], rtol=1e-8, atol=1e-12)
+    assert list(got.loc[pd.Timestamp("2030-01-01"), "loading"]) == [1.0, 0.0] and got.loc[pd.Timestamp("2030-01-01"), "share"].isna().all()
