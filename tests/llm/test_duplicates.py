@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -319,3 +320,13 @@ def test_pipeline_drops_repeated_lines_of_any_length(spark):
     docs = spark.createDataFrame([(1, "Les.\n\nAnd ornd.\n漢字漢字漢字漢字\na b c d"), (2, "Les.\n\nother\nAnd  ornd.\n漢字漢字漢字漢字\na b c d"), (None, "Les.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     assert got == {1: docs.where("doc_id = 1").first().text, 2: "\nother", None: "Les."}
+
+
+def test_lines_are_counted_by_bytes(spark):
+    """Blanks of each kind, alone and in runs, at the ends and in lines without words; words of several bytes."""
+    texts = ["a\tb c\r\n d  e f ", "\f\n \nä ö  ü\n", "x y z", "", None, "\t", "a b c d\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup._lines(docs, 1)
+    want = [(i, k, line, line.count(" ") + 1) for i, t in enumerate(texts) for k, raw in enumerate((t or "").split("\n")) if (line := re.sub("[ \t\r\f]+", " ", raw).strip(" "))]
+    assert sorted(map(tuple, lines.collect())) == want
+    assert "translate(" not in lines._jdf.queryExecution().optimizedPlan().toString()
