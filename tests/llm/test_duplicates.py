@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import common, line_dedup, near_duplicates as nd, passages as ps
@@ -230,6 +231,59 @@ def test_passage_of_middle_documents_is_found(spark, others):
     assert {(r.begin_word, r.end_word, r.similarity) for r in rows if 502 not in (r.doc_id, r.other_id)} == {(45, 95, 1.0)}
 
 
+def test_near_passages_of_crowded_buckets_are_found(spark):
+    data = []
+    for p in range(6):
+        words = [f"p{p}x{k}" for k in range(50)]
+        # Every 34 words of either passage are in 200 documents that share no passage with them.
+        others = [words[:34], words[16:]] * 200
+        near = [words, [*words[:25], "other", *words[26:]]]
+        for k, part in enumerate([*others[:200], *near, *others[200:]]):
+            data.append((1000 * p + k, " ".join([*(f"f{p}x{k}x{n}" for n in range(45)), *part, *(f"g{p}x{k}x{n}" for n in range(45))])))
+    rows = ps.shared_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    expected = {(1000 * p + a, 1000 * p + b) for p in range(6) for a, b in ((200, 201), (201, 200))}
+    assert expected <= {(r.doc_id, r.other_id) for r in rows}
+    assert all(r.similarity >= 0.8 for r in rows)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_kinds_of_a_bucket_equal_brute_force(blocks):
+    rng = random.Random(blocks)
+    base = [f"b{k}" for k in range(58)]
+    words = []
+    for i in range(70):
+        mine = base[rng.randrange(8) : 58 - rng.randrange(8)]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(mine) - 1)
+            mine[at : at + rng.randrange(3)] = [f"e{rng.randrange(3)}"] * rng.randrange(2)
+        words.append([*(["la"] * rng.randrange(40) + mine if i % 7 else ["la"] * (45 + i % 3) + [f"t{i % 2}"] * 6)])
+    packed = [ps.packed_words(" ".join(w)) for w in words]
+    group = pa.table({"bucket": [5] * 70, "x": [0] * 70, "y": [blocks - 1] * 70, "block": [i % blocks for i in range(70)], "doc_id": range(70), "begin": [0] * 70, "place": [0] * 70, "buckets": [[5, 7]] * 70, "text": packed})
+    links = {(r["doc_id"], r["other"]) for r in ps.linked_kinds(group, 50, 0.8).to_pylist()}
+    links |= {(b, a) for a, b in links}
+    text = [np.frombuffer(p, "<u4") for p in packed]
+    alike = {(i, j) for i in range(70) for j in range(70) if i != j and ps.align(text[i], text[j], list(range(-len(text[j]), len(text[i]))))}
+    met = {(i, j) for i, j in alike if blocks == 1 or (i - j) % 2}
+    assert len(met) > 300 and len(links) < len(alike) and links <= alike
+    # A pair has a link, or both have one with the same third.
+    assert all((i, j) in links or any((i, k) in links and (j, k) in links for k in range(70)) for i, j in met)
+
+
+def test_longest_run_of_a_passage():
+    assert [ps.least_run(*x) for x in ((50, 0.8), (50, 0.9), (200, 0.8), (50, 1.0))] == [25, 45, 34, 50]
+    rng = random.Random(3)
+    for _ in range(300):
+        a = np.array([rng.randrange(2) if rng.random() < 0.3 else k + 2 for k in range(110)], np.uint32)
+        b = list(a)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(b) - 2)
+            b[at : at + rng.randrange(3)] = [rng.randrange(2)] * rng.randrange(3)
+        b = np.array(b, np.uint32)
+        for a0, a1, b0, b1, _ in ps.align(a, b, list(range(-12, 13))):
+            runs = [ps.run_hashes(x, (25,))[0] for x in (a[a0:a1], b[b0:b1])]
+            assert len(np.intersect1d(*runs))
+
+
 def test_passages_equal_brute_force(spark):
     rng = random.Random(77)
     pool = [[f"q{p}x{k}" for k in range(rng.randrange(50, 70))] for p in range(6)]
