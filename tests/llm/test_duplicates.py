@@ -269,6 +269,18 @@ def test_kinds_of_a_bucket_equal_brute_force(blocks):
     assert all((i, j) in links or any((i, k) in links and (j, k) in links for k in range(70)) for i, j in met)
 
 
+def test_links_of_a_crowded_bucket_grow_with_its_kinds():
+    # All share one passage, each with a word of its own in it: every kind is linked to one head, not to one of each block.
+    n = 1200
+    base = [f"b{k}" for k in range(80)]
+    packed = [ps.packed_words(" ".join([*base[:60], f"own{i}", *base[61:]])) for i in range(n)]
+    tables = [pa.table({"bucket": [5] * n, "x": [0] * n, "y": [0] * n, "block": [0] * n, "doc_id": range(n), "begin": [0] * n, "place": [20] * n, "buckets": [[5, 7]] * n, "text": packed})]
+    tables.append(tables[0].set_column(0, "bucket", pa.array([7] * n)))
+    rows = ps.linked_kinds(pa.concat_tables(tables), 50, 0.8)
+    assert set(rows.column("doc_id").to_pylist()) | set(rows.column("other").to_pylist()) == set(range(n))
+    assert rows.num_rows < 2 * n
+
+
 def test_longest_run_of_a_passage():
     assert [ps.least_run(*x) for x in ((50, 0.8), (50, 0.9), (200, 0.8), (50, 1.0))] == [25, 45, 34, 50]
     rng = random.Random(3)
